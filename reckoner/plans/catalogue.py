@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from reckoner.plans import prepare_queries, sequence_queries  # noqa: F401
+from reckoner.plans import diagnostic_queries, metric_queries, prepare_queries, retrieval_queries, sequence_queries  # noqa: F401
 from reckoner.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

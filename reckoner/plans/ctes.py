@@ -134,3 +134,55 @@ cte(
        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, k1 DESC, k2 DESC, item_id DESC) AS rn,
                     count(*) OVER (PARTITION BY user_id) AS n FROM z_first) WHERE n >= 3""",
 )
+
+# Popularity retrieval.
+cte(
+    "z_pop",
+    """SELECT item_id, n, row_number() OVER (ORDER BY n DESC, item_id) AS rank
+       FROM (SELECT item_id, count(*) AS n FROM z_train GROUP BY item_id)""",
+)
+cte("z_eval_users", "SELECT DISTINCT user_id FROM z_targets")
+cte(
+    "z_pop_recs",
+    """SELECT user_id, item_id, CAST(n AS DOUBLE) AS score, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS rank
+       FROM z_eval_users u CROSS JOIN z_pop p
+       WHERE NOT EXISTS (SELECT 1 FROM z_seen s WHERE s.user_id = u.user_id AND s.item_id = p.item_id)
+       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rank) <= 20""",
+)
+cte("z_loo_train", "SELECT * FROM z_loo WHERE split = 'train'")
+cte("z_loo_seen_test", "SELECT DISTINCT user_id, item_id FROM z_loo WHERE split IN ('train', 'val')")
+cte(
+    "z_loo_pop",
+    """SELECT item_id, n, row_number() OVER (ORDER BY n DESC, item_id) AS rank
+       FROM (SELECT item_id, count(*) AS n FROM z_loo_train GROUP BY item_id)""",
+)
+
+
+def metrics_sql(recs: str, targets: str, ks: tuple[int, ...], metrics: tuple[str, ...]) -> str:
+    """Tidy (metric, k, value, n_users) of a recommendation query against a target query."""
+    expr = {
+        "recall": "CAST(sum(CASE WHEN rank <= {k} THEN 1 ELSE 0 END) AS DOUBLE) / max(n)",
+        "ndcg": """coalesce(sum(CASE WHEN rank <= {k} THEN 1.0::DOUBLE / log2(rank + 1) END), 0)
+                   / list_sum(list_transform(range(1, least(max(n), {k}) + 1), lambda i: 1.0::DOUBLE / log2(i + 1)))""",
+        "map": "coalesce(sum(CASE WHEN rank <= {k} THEN CAST(h AS DOUBLE) / rank END), 0) / least(max(n), {k})",
+    }
+    base = f"""SELECT t.user_id, r.rank, count(*) OVER (PARTITION BY t.user_id) AS n,
+        row_number() OVER (PARTITION BY t.user_id ORDER BY r.rank NULLS LAST) AS h
+        FROM ({targets}) t LEFT JOIN ({recs}) r ON r.user_id = t.user_id AND r.item_id = t.item_id"""
+    parts = [
+        f"""SELECT '{m}' AS metric, {k}::BIGINT AS k, round(avg(x), 6) AS value, count(*) AS n_users
+            FROM (SELECT user_id, {expr[m].format(k=k)} AS x FROM ({base}) GROUP BY user_id)"""
+        for m in metrics
+        for k in ks
+    ]
+    return " UNION ALL ".join(parts)
+
+# Ranking candidates: popularity top 100 of the val users, score 1 / rank.
+cte(
+    "z_cands",
+    """SELECT user_id, item_id, 1.0::DOUBLE / rank AS score, rank FROM (
+         SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS rank
+         FROM z_eval_users u CROSS JOIN z_pop p
+         WHERE NOT EXISTS (SELECT 1 FROM z_seen s WHERE s.user_id = u.user_id AND s.item_id = p.item_id)
+         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rank) <= 100)""",
+)
