@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reckoner.functions.scalars import SCORE_DIGITS, stable_score
+from reckoner.functions.scalars import SCORE_DIGITS
 from reckoner.functions.vectors import as_doubles, unit
 from reckoner.operators.compose import ranked
 from reckoner.operators.ordering import newest
@@ -108,11 +108,11 @@ def blocked_topk(left: DataFrame, right: DataFrame, masked: DataFrame, k: int, c
     parallelism = left.sparkSession.sparkContext.defaultParallelism
     n_right = _chunks(right, 1, chunk_bytes)
     n_left = _chunks(left, max(1, 2 * parallelism // n_right), chunk_bytes)
-    every_right = F.array(*[F.lit(i) for i in range(n_right)]) if n_right <= 64 else F.sequence(F.lit(0), F.lit(n_right - 1))
+    every_right = F.sequence(F.lit(0), F.lit(n_right - 1))
     every_left = F.sequence(F.lit(0), F.lit(n_left - 1))
     vectors = left.select(
         _chunk_of("id", n_left).alias("lc"),
-        F.explode(every_right).cast("int").alias("rc"),
+        F.explode(every_right).alias("rc"),
         "id",
         as_doubles(F.col("vector")).alias("vector"),
         F.lit(None).cast("long").alias("masked"),
@@ -125,7 +125,7 @@ def blocked_topk(left: DataFrame, right: DataFrame, masked: DataFrame, k: int, c
         "masked",
     )
     targets = right.select(
-        F.explode(every_left).cast("int").alias("lc"),
+        F.explode(every_left).alias("lc"),
         _chunk_of("id", n_right).alias("rc"),
         "id",
         as_doubles(F.col("vector")).alias("vector"),
@@ -156,13 +156,6 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, chunk_bytes: int =
     return ranked(found.withColumnsRenamed({"left_id": "query_id", "right_id": "item_id"}), k, keys=("query_id",))
 
 
-def score_dot_expression(a, b):
-    """The same rounded score as a column expression, for pairs that are already joined."""
-    from reckoner.functions.vectors import dot
-
-    return stable_score(dot(a, b))
-
-
 def history_state(history: DataFrame, item_vecs: DataFrame, n: int = 20, decay: float = 0.8, order_by=("ts", "k1", "k2", "item_id")) -> DataFrame:
     """User state from the last ``n`` items: mean of their vectors weighted by ``decay ** age``."""
     last = newest(history.select("user_id", *dict.fromkeys(["item_id", *order_by])), "user_id", list(order_by), n)

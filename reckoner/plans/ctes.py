@@ -186,3 +186,105 @@ cte(
          WHERE NOT EXISTS (SELECT 1 FROM z_seen s WHERE s.user_id = u.user_id AND s.item_id = p.item_id)
          QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rank) <= 100)""",
 )
+
+# Vectors, codebooks and semantic ids (64 dimensions in the test tables).
+cte(
+    "z_vec",
+    """SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, (SELECT count(*) FROM embeddings) AS n FROM embeddings""",
+)
+cte("z_item_vec", "SELECT p_partkey AS item_id, p_partkey % (SELECT count(*) FROM embeddings) AS vec_id FROM part")
+cte(
+    "z_book_groups",
+    """SELECT 1 AS level, CAST(label AS BIGINT) AS code, v FROM z_vec
+       UNION ALL SELECT 2, vec_id * 16 // n, v FROM z_vec UNION ALL SELECT 3, vec_id * 8 // n, v FROM z_vec""",
+)
+cte(
+    "z_book",
+    """SELECT level, code, list(m ORDER BY i) AS c FROM (SELECT level, code, i, avg(x) AS m FROM (
+         SELECT level, code, unnest(range(1, 65)) AS i, unnest(v) AS x FROM z_book_groups) GROUP BY level, code, i)
+       GROUP BY level, code""",
+)
+_PREVIOUS = {1: "z_vec", 2: "z_q_one", 3: "z_q_two"}
+for _level, _name in ((1, "z_q_one"), (2, "z_q_two"), (3, "z_q_three")):
+    _kept = "".join(f", c{j}, d{j}" for j in range(1, _level))
+    _vector = "v" if _level == 1 else "r"
+    cte(
+        _name,
+        f"""SELECT vec_id, list_transform(list_zip({_vector}, c), lambda z: z[1] - z[2]) AS r{_kept},
+            code AS c{_level}, d * d AS d{_level} FROM (
+              SELECT q.*, b.code, b.c, list_distance(q.{_vector}, b.c) AS d FROM {_PREVIOUS[_level]} q JOIN z_book b ON b.level = {_level})
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, code) = 1""",
+    )
+cte(
+    "z_sid",
+    """SELECT i.item_id, q.c1, q.c2, q.c3, q.d1, q.d2, q.d3, q.r,
+       row_number() OVER (PARTITION BY c1, c2, c3 ORDER BY i.item_id) - 1 AS dedup FROM z_item_vec i JOIN z_q_three q USING (vec_id)""",
+)
+cte("z_tok", "SELECT item_id, c1 AS tok1, 256 + c2 AS tok2, 512 + c3 AS tok3, 768 + dedup AS tok4 FROM z_sid")
+cte("z_std_long", "SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM (SELECT unnest(range(1, 65)) AS i, unnest(v) AS x FROM z_emb) GROUP BY i")
+cte("z_std", "SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM z_std_long")
+
+# Next-token model: pairs of consecutive train items, counts per depth.
+cte(
+    "z_pairs",
+    """SELECT user_id, item_id AS a, lead(item_id) OVER (PARTITION BY user_id ORDER BY us, k1, k2, item_id) AS b FROM z_train""",
+)
+cte(
+    "z_tok_paths",
+    """SELECT item_id, tok1 AS x, [tok1] AS p1, [tok1, tok2] AS p2, [tok1, tok2, tok3] AS p3, [tok1, tok2, tok3, tok4] AS p4,
+       tok1, tok2, tok3, tok4 FROM z_tok""",
+)
+cte(
+    "z_steps",
+    """SELECT item_id, 0 AS depth, CAST([] AS BIGINT[]) AS prefix, tok1 AS token FROM z_tok
+       UNION ALL SELECT item_id, 1, [tok1], tok2 FROM z_tok UNION ALL SELECT item_id, 2, [tok1, tok2], tok3 FROM z_tok
+       UNION ALL SELECT item_id, 3, [tok1, tok2, tok3], tok4 FROM z_tok""",
+)
+cte("z_children", "SELECT depth, prefix, token, count(*) AS n_items, CASE WHEN depth = 3 THEN min(item_id) END AS item_id FROM z_steps GROUP BY depth, prefix, token")
+cte(
+    "z_observed",
+    """SELECT s.depth, t.tok1 AS x, s.prefix, s.token, count(*) AS n FROM z_pairs p JOIN z_tok t ON t.item_id = p.a
+       JOIN z_steps s ON s.item_id = p.b GROUP BY s.depth, t.tok1, s.prefix, s.token""",
+)
+cte("z_totals", "SELECT depth, x, prefix, sum(n) AS total FROM z_observed GROUP BY depth, x, prefix")
+cte(
+    "z_q",
+    """SELECT c.depth, c.prefix, c.token, c.item_id, (coalesce(o.n, 0) + 1.0::DOUBLE) / (sum(coalesce(o.n, 0)) OVER w + count(*) OVER w) AS q
+       FROM z_children c LEFT JOIN (SELECT depth, prefix, token, sum(n) AS n FROM z_observed GROUP BY depth, prefix, token) o
+         ON o.depth = c.depth AND o.prefix = c.prefix AND o.token = c.token
+       WINDOW w AS (PARTITION BY c.depth, c.prefix)""",
+)
+cte("z_contexts", "SELECT DISTINCT tok1 AS x FROM z_tok")
+cte(
+    "z_prob",
+    """SELECT q.depth, c.x, q.prefix, q.token, q.item_id, (coalesce(o.n, 0) + 5.0::DOUBLE * q.q) / (coalesce(t.total, 0) + 5.0::DOUBLE) AS p
+       FROM z_q q CROSS JOIN z_contexts c
+       LEFT JOIN z_observed o ON o.depth = q.depth AND o.x = c.x AND o.prefix = q.prefix AND o.token = q.token
+       LEFT JOIN z_totals t ON t.depth = q.depth AND t.x = c.x AND t.prefix = q.prefix""",
+)
+BEAM = 8
+_beam_source = "(SELECT x, CAST([] AS BIGINT[]) AS path, 0.0::DOUBLE AS logp FROM z_contexts)"
+for _depth, _name in enumerate(("z_beam_one", "z_beam_two", "z_beam_three", "z_beam_all")):
+    _cut = "" if _name == "z_beam_all" else f"QUALIFY row_number() OVER (PARTITION BY x ORDER BY logp DESC, path) <= {BEAM}"
+    cte(
+        _name,
+        f"""SELECT * FROM (SELECT b.x, list_append(b.path, p.token) AS path, p.item_id, round(b.logp + ln(p.p), 9) AS logp
+            FROM {_beam_source} b JOIN z_prob p ON p.depth = {_depth} AND p.x = b.x AND p.prefix = b.path) {_cut}""",
+    )
+    _beam_source = _name
+cte(
+    "z_beam_lists",
+    "SELECT x, item_id, logp, row_number() OVER (PARTITION BY x ORDER BY logp DESC, path) AS rank FROM z_beam_all",
+)
+cte(
+    "z_user_x",
+    """SELECT n.user_id, t.tok1 AS x FROM (SELECT user_id, item_id FROM z_train QUALIFY row_number() OVER (
+         PARTITION BY user_id ORDER BY us DESC, k1 DESC, k2 DESC, item_id DESC) = 1) n JOIN z_tok t USING (item_id)""",
+)
+cte(
+    "z_beam_recs",
+    """SELECT u.user_id, l.item_id, l.logp AS score, row_number() OVER (PARTITION BY u.user_id ORDER BY l.rank) AS rank
+       FROM z_user_x u JOIN z_beam_lists l USING (x)
+       WHERE NOT EXISTS (SELECT 1 FROM z_seen s WHERE s.user_id = u.user_id AND s.item_id = l.item_id)
+       QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY l.rank) <= 8""",
+)
