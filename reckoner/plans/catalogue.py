@@ -6,6 +6,7 @@ from reckoner.plans import (  # noqa: F401
     metric_queries,
     model_queries,
     prepare_queries,
+    ranking_queries,
     retrieval_queries,
     sequence_queries,
 )

@@ -288,3 +288,37 @@ cte(
        WHERE NOT EXISTS (SELECT 1 FROM z_seen s WHERE s.user_id = u.user_id AND s.item_id = l.item_id)
        QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY l.rank) <= 8""",
 )
+
+# Ranking features.
+cte("z_val_targets", "SELECT user_id, item_id FROM z_targets WHERE split = 'val'")
+cte("z_val_cands", "SELECT * FROM z_cands WHERE user_id IN (SELECT user_id FROM z_val_targets)")
+cte(
+    "z_train_stats",
+    """SELECT min(us) AS lo, greatest(max(us) - min(us), 1) AS span, avg(us) AS mean, median(unit_price) AS price FROM z_train""",
+)
+cte(
+    "z_item_feats",
+    """SELECT c.item_id, ln(1.0::DOUBLE + coalesce(n, 0)) AS item_popularity_log, coalesce(p, s.price) AS item_price_imputed,
+       CASE WHEN p IS NULL THEN 0 ELSE 1 END AS has_price, (coalesce(t.mean, s.mean) - s.lo) / s.span AS item_recency_norm
+       FROM z_catalog c LEFT JOIN (SELECT item_id, count(*) AS n, median(unit_price) AS p, avg(us) AS mean FROM z_train GROUP BY item_id) t
+         USING (item_id) CROSS JOIN z_train_stats s""",
+)
+cte(
+    "z_profile",
+    """SELECT user_id, list(m ORDER BY i) AS p FROM (SELECT user_id, i, avg(x) AS m FROM (
+         SELECT t.user_id, unnest(range(64)) AS i, unnest(e.v) AS x FROM z_train t JOIN z_emb e USING (item_id)) GROUP BY user_id, i)
+       GROUP BY user_id""",
+)
+cte(
+    "z_features",
+    """SELECT c.user_id, c.item_id, c.rank, c.score AS als_score, f.item_popularity_log, f.item_price_imputed, f.has_price,
+       f.item_recency_norm, coalesce(list_dot_product(e.v, p.p) / sqrt(list_dot_product(e.v, e.v) * list_dot_product(p.p, p.p)), 0.0) AS content_sim,
+       ln(1.0::DOUBLE + coalesce(h.n, 0)) AS user_n_interactions_log
+       FROM z_val_cands c JOIN z_item_feats f USING (item_id) JOIN z_emb e USING (item_id) LEFT JOIN z_profile p ON p.user_id = c.user_id
+       LEFT JOIN (SELECT user_id, count(*) AS n FROM z_train GROUP BY user_id) h ON h.user_id = c.user_id""",
+)
+cte(
+    "z_labelled",
+    """SELECT f.*, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS label FROM z_features f LEFT JOIN z_val_targets t
+       ON t.user_id = f.user_id AND t.item_id = f.item_id""",
+)
