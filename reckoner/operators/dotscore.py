@@ -12,6 +12,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,43 +53,72 @@ def _best(neg: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[keep], cols[keep]
 
 
-def _score_group(k: int):
+def _places(sorted_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of every id in ``sorted_ids`` and whether it is there at all."""
+    rows = np.searchsorted(sorted_ids, ids)
+    found = rows < len(sorted_ids)
+    found[found] = sorted_ids[rows[found]] == ids[found]
+    return rows, found
+
+
+def _result(left: list, right: list, score: list) -> pa.Table:
+    empty = [np.zeros(0)]
+    return pa.table(
+        {
+            "left_id": pa.array(np.concatenate(left or empty).astype("int64")),
+            "right_id": pa.array(np.concatenate(right or empty).astype("int64")),
+            "score": pa.array(np.concatenate(score or empty).astype("float64")),
+        }
+    )
+
+
+def _sides(left: pa.Table, right: pa.Table):
+    """Both chunks as sorted ids and matrices, and the listed pairs as row, column and ids."""
+    listed = left.filter(pc.is_valid(left.column("other")))
+    left_ids, left_vectors = _matrix(left.filter(pc.is_null(left.column("other"))))
+    right_ids, right_vectors = _matrix(right)
+    a, b = listed.column("id").to_numpy(), listed.column("other").to_numpy()
+    rows, in_left = _places(left_ids, a)
+    cols, in_right = _places(right_ids, b)
+    known = in_left & in_right
+    return left_ids, left_vectors, right_ids, right_vectors, rows[known], cols[known]
+
+
+def _topk_group(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        mask = left.filter(pa.compute.is_valid(left.column("masked")))
-        left = left.filter(pa.compute.is_null(left.column("masked")))
-        left_ids, left_vectors = _matrix(left)
-        right_ids, right_vectors = _matrix(right)
+        left_ids, left_vectors, right_ids, right_vectors, m_rows, m_cols = _sides(left, right)
+        if not len(left_ids) or not len(right_ids):
+            return _result([], [], [])
+        order = np.argsort(m_rows, kind="stable")
+        m_rows, m_cols = m_rows[order], m_cols[order]
         found_left, found_right, found_score = [], [], []
-        if len(left_ids) and len(right_ids):
-            m_rows = np.searchsorted(left_ids, mask.column("id").to_numpy())
-            m_cols = np.searchsorted(right_ids, mask.column("masked").to_numpy())
-            known = (m_rows < len(left_ids)) & (m_cols < len(right_ids))
-            known[known] &= left_ids[m_rows[known]] == mask.column("id").to_numpy()[known]
-            known[known] &= right_ids[m_cols[known]] == mask.column("masked").to_numpy()[known]
-            order = np.argsort(m_rows[known], kind="stable")
-            m_rows, m_cols = m_rows[known][order], m_cols[known][order]
-            step = max(1, SCORE_CELLS // len(right_ids))
-            for start in range(0, len(left_ids), step):
-                stop = min(start + step, len(left_ids))
-                neg = -np.round(left_vectors[start:stop] @ right_vectors.T, SCORE_DIGITS)
-                lo, hi = np.searchsorted(m_rows, [start, stop])
-                neg[m_rows[lo:hi] - start, m_cols[lo:hi]] = np.inf
-                rows, cols = _best(neg, k)
-                found_left.append(left_ids[start + rows])
-                found_right.append(right_ids[cols])
-                found_score.append(-neg[rows, cols] + 0.0)
-        empty = np.zeros(0)
-        return pa.table(
-            {
-                "left_id": pa.array(np.concatenate(found_left or [empty]).astype("int64")),
-                "right_id": pa.array(np.concatenate(found_right or [empty]).astype("int64")),
-                "score": pa.array(np.concatenate(found_score or [empty]).astype("float64")),
-            }
-        )
+        step = max(1, SCORE_CELLS // len(right_ids))
+        for start in range(0, len(left_ids), step):
+            stop = min(start + step, len(left_ids))
+            neg = -np.round(left_vectors[start:stop] @ right_vectors.T, SCORE_DIGITS)
+            lo, hi = np.searchsorted(m_rows, [start, stop])
+            neg[m_rows[lo:hi] - start, m_cols[lo:hi]] = np.inf
+            rows, cols = _best(neg, k)
+            found_left.append(left_ids[start + rows])
+            found_right.append(right_ids[cols])
+            found_score.append(-neg[rows, cols] + 0.0)
+        return _result(found_left, found_right, found_score)
 
     return run
 
 
+def _pairs_group(left: pa.Table, right: pa.Table) -> pa.Table:
+    left_ids, left_vectors, right_ids, right_vectors, rows, cols = _sides(left, right)
+    if not len(rows):
+        return _result([], [], [])
+    step = max(1, SCORE_CELLS // left_vectors.shape[1])
+    scores = [
+        np.einsum("ij,ij->i", left_vectors[rows[i : i + step]], right_vectors[cols[i : i + step]])
+        for i in range(0, len(rows), step)
+    ]
+    return _result([left_ids[rows]], [right_ids[cols]], scores)
+
+
 def _chunks(df: DataFrame, at_least: int, chunk_bytes: int) -> int:
     """Number of chunks that keeps one chunk's vectors below ``chunk_bytes``."""
     stats = df.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
@@ -100,38 +132,51 @@ def _chunk_of(column: str, n: int):
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
-def blocked_topk(left: DataFrame, right: DataFrame, masked: DataFrame, k: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``(left_id, right_id, score)`` with up to ``k`` best pairs per left row and right chunk.
+def _blocked(left: DataFrame, right: DataFrame, listed: DataFrame, chunk_bytes: int):
+    """Cogroup both vector tables by (left chunk, right chunk); listed pairs join the one group they belong to.
 
-    ``left(id, vector)``, ``right(id, vector)``; ``masked(id, masked)`` are distinct pairs that must not appear.
+    Every column gets a new alias: a cogroup whose two sides share attributes loses columns to pruning.
     """
     parallelism = left.sparkSession.sparkContext.defaultParallelism
     n_right = _chunks(right, 1, chunk_bytes)
     n_left = _chunks(left, max(1, 2 * parallelism // n_right), chunk_bytes)
-    every_right = F.sequence(F.lit(0), F.lit(n_right - 1))
-    every_left = F.sequence(F.lit(0), F.lit(n_left - 1))
     vectors = left.select(
         _chunk_of("id", n_left).alias("lc"),
-        F.explode(every_right).alias("rc"),
-        "id",
+        F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("rc"),
+        F.col("id").alias("id"),
         as_doubles(F.col("vector")).alias("vector"),
-        F.lit(None).cast("long").alias("masked"),
+        F.lit(None).cast("long").alias("other"),
     )
-    pairs = masked.select(
+    pairs = listed.select(
         _chunk_of("id", n_left).alias("lc"),
-        _chunk_of("masked", n_right).alias("rc"),
-        "id",
-        F.lit(None).cast("array<double>").alias("vector"),
-        "masked",
+        _chunk_of("other", n_right).alias("rc"),
+        F.col("id").alias("id"),
+        F.array().cast("array<double>").alias("vector"),  # empty, not null: runs of null lists are slow to hand over
+        F.col("other").alias("other"),
     )
     targets = right.select(
-        F.explode(every_left).alias("lc"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("lc"),
         _chunk_of("id", n_right).alias("rc"),
-        "id",
+        F.col("id").alias("id"),
         as_doubles(F.col("vector")).alias("vector"),
     )
-    grouped = vectors.unionByName(pairs).groupBy("lc", "rc").cogroup(targets.groupBy("lc", "rc"))
-    return grouped.applyInArrow(_score_group(k), _OUT)
+    return vectors.unionByName(pairs).groupBy("lc", "rc").cogroup(targets.groupBy("lc", "rc"))
+
+
+def blocked_topk(left: DataFrame, right: DataFrame, masked: DataFrame, k: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``(left_id, right_id, score)`` with up to ``k`` best pairs per left row and right chunk.
+
+    ``left(id, vector)``, ``right(id, vector)``; ``masked(id, other)`` are distinct pairs that must not appear.
+    """
+    return _blocked(left, right, masked, chunk_bytes).applyInArrow(_topk_group(k), _OUT)
+
+
+def score_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Dot products of the listed pairs ``(id, other)``: ``(left_id, right_id, score)``; unknown ids are left out.
+
+    Only the ids of a pair travel. Joining both vectors to every pair would move two vectors per pair instead.
+    """
+    return _blocked(left, right, pairs, chunk_bytes).applyInArrow(_pairs_group, _OUT)
 
 
 def score_dot_topk(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame, k: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -142,7 +187,7 @@ def score_dot_topk(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame,
     users = user_vecs.select(F.col("user_id").alias("id"), "vector")
     items = item_vecs.select(F.col("item_id").alias("id"), "vector")
     relevant = seen.select("user_id", "item_id").distinct().join(user_vecs.select("user_id"), "user_id", "left_semi")
-    masked = relevant.select(F.col("user_id").alias("id"), F.col("item_id").alias("masked"))
+    masked = relevant.select(F.col("user_id").alias("id"), F.col("item_id").alias("other"))
     found = blocked_topk(users, items, masked, k, chunk_bytes)
     return ranked(found.select(F.col("left_id").alias("user_id"), F.col("right_id").alias("item_id"), "score"), k)
 
@@ -151,21 +196,18 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, chunk_bytes: int =
     """Exact cosine neighbours of every query item, itself left out by key: ``(query_id, item_id, score, rank)``."""
     left = queries.select(F.col("item_id").alias("id"), unit(as_doubles(F.col("embedding"))).alias("vector"))
     right = items.select(F.col("item_id").alias("id"), unit(as_doubles(F.col("embedding"))).alias("vector"))
-    itself = queries.select(F.col("item_id").alias("id"), F.col("item_id").alias("masked"))
+    itself = queries.select(F.col("item_id").alias("id"), F.col("item_id").alias("other"))
     found = blocked_topk(left, right, itself, k, chunk_bytes)
     return ranked(found.withColumnsRenamed({"left_id": "query_id", "right_id": "item_id"}), k, keys=("query_id",))
 
 
 def history_state(history: DataFrame, item_vecs: DataFrame, n: int = 20, decay: float = 0.8, order_by=("ts", "k1", "k2", "item_id")) -> DataFrame:
-    """User state from the last ``n`` items: mean of their vectors weighted by ``decay ** age``."""
+    """User state from the last ``n`` items: mean of their vectors weighted by ``decay ** age``.
+
+    The row limit runs before the shuffle and the aggregation state is one vector per user.
+    """
     last = newest(history.select("user_id", *dict.fromkeys(["item_id", *order_by])), "user_id", list(order_by), n)
-    weighted = last.withColumn("_w", F.pow(F.lit(decay), F.col("age"))).join(
-        item_vecs.select("item_id", as_doubles(F.col("vector")).alias("_v")), "item_id"
-    )
-    rows = F.collect_list(F.struct("_w", "_v"))  # at most n rows per user
-    per_user = weighted.groupBy("user_id").agg(F.sum("_w").alias("_total"), F.array_sort(rows).alias("_rows"))
-    first = F.transform(F.get("_rows._v", F.lit(0)), lambda x: x * F.lit(0.0))
-    summed = F.aggregate(
-        "_rows", first, lambda acc, r: F.zip_with(acc, r["_v"], lambda a, x: a + r["_w"] * x)
-    )
-    return per_user.select("user_id", F.transform(summed, lambda x: x / F.col("_total")).alias("vector"))
+    weights = last.select("user_id", "item_id", F.pow(F.lit(decay), F.col("age")).alias("_w"))
+    vectors = item_vecs.select("item_id", array_to_vector(as_doubles(F.col("vector"))).alias("_v"))
+    mean = weights.join(vectors, "item_id").groupBy("user_id").agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m"))
+    return mean.select("user_id", vector_to_array("_m").alias("vector"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reckoner.functions.scalars import micros
-from reckoner.functions.vectors import as_doubles, dot, norm
+from reckoner.functions.vectors import as_doubles, unit
+from reckoner.operators.dotscore import score_pairs
 from reckoner.operators.ordering import scalar
 from reckoner.operators.sequences import history_counts, user_profiles
 
@@ -79,11 +80,14 @@ def item_features(train: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def content_similarity(candidates: DataFrame, profiles: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Cosine of item vector and user profile; 0 for a user without profile or an item without vector."""
-    vectors = embeddings.select("item_id", as_doubles(F.col("embedding")).alias("_v"))
-    joined = candidates.join(vectors, "item_id", "left").join(profiles, "user_id", "left")
-    length = norm(F.col("_v"))
-    sim = dot(F.col("_v"), F.col("profile")) / F.when(length > 0, length).otherwise(1.0)
-    return joined.withColumn("content_sim", F.coalesce(sim, F.lit(0.0))).drop("_v", "profile")
+    users = profiles.select(F.col("user_id").alias("id"), F.col("profile").alias("vector"))
+    items = embeddings.select(F.col("item_id").alias("id"), unit(as_doubles(F.col("embedding"))).alias("vector"))
+    pairs = candidates.select(F.col("user_id").alias("id"), F.col("item_id").alias("other"))
+    scores = score_pairs(users, items, pairs).select(
+        F.col("left_id").alias("user_id"), F.col("right_id").alias("item_id"), F.col("score").alias("_sim")
+    )
+    joined = candidates.join(scores, ["user_id", "item_id"], "left")
+    return joined.withColumn("content_sim", F.coalesce("_sim", F.lit(0.0))).drop("_sim")
 
 
 def candidate_features(recs: DataFrame, train: DataFrame, catalog: DataFrame, embeddings: DataFrame) -> DataFrame:

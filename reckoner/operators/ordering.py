@@ -39,9 +39,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so that partition-dependent values never change on a retry."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the table to the shared folder and read it back.
+
+    Cuts lineage, survives lost executors, and fixes partition-dependent values for good. Unlike a checkpoint the
+    result keeps column pruning and its true size, so later joins can choose a broadcast by size.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def global_index(df: DataFrame, order_by: list, name: str = "index") -> DataFrame:

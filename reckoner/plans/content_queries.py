@@ -33,7 +33,7 @@ TFIDF_SQL = f"""WITH tokens AS (
 
 
 def weights_of(fx: Fixtures) -> DataFrame:
-    return emb.tfidf(fx.table("documents"), "doc_id", "text")
+    return emb.tfidf(fx.table("documents"), "doc_id", "text", partitions=fx.spark.sparkContext.defaultParallelism)
 
 
 @query("emb_01_tfidf", TFIDF_SQL)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reckoner.operators import evaluation, metrics, popularity as pop, splitting
+from reckoner.operators.ordering import durable
 from reckoner.plans.ctes import metrics_sql
 from reckoner.plans.registry import presented, query
 from reckoner.plans.retrieval_queries import popularity_recs, targets_of
-from reckoner.plans.sequence_queries import train_of
+from reckoner.plans.sequence_queries import split_of, targets_in, train_in, train_of
 from reckoner.sources.fixtures import Fixtures
 
 VAL_TARGETS = "SELECT user_id, item_id FROM z_targets WHERE split = 'val'"
@@ -48,7 +49,8 @@ def met_04(fx: Fixtures) -> DataFrame:
 
 
 def _both_splits(fx: Fixtures) -> DataFrame:
-    train, targets = train_of(fx), targets_of(fx)
+    split = durable(split_of(fx))
+    train, targets = train_in(split), targets_in(split)
     popular = pop.popularity(train)
     parts = [
         evaluation.popularity_baseline(popular, train, targets.where(F.col("split") == s), s) for s in ("val", "test")
@@ -108,9 +110,8 @@ def met_08(fx: Fixtures) -> DataFrame:
     return presented(_both_splits(fx))
 
 
-def loo_parts(fx: Fixtures):
+def loo_parts(loo: DataFrame):
     """Per split of the leave-one-out protocol: targets and context rows."""
-    loo = splitting.loo_split(fx.interactions())
     for split in ("val", "test"):
         yield split, loo.where(F.col("split") == split).select("user_id", "item_id"), splitting.loo_context(loo, split)
 
@@ -131,10 +132,10 @@ LOO_RECS_SQL = """SELECT user_id, item_id, row_number() OVER (PARTITION BY user_
     ),
 )
 def met_10(fx: Fixtures) -> DataFrame:
-    loo = splitting.loo_split(fx.interactions())
+    loo = durable(splitting.loo_split(fx.interactions()))
     popular = pop.popularity(loo.where(F.col("split") == "train"))
     parts = [
         evaluation.popularity_baseline(popular, context, targets, split, KS, ("recall", "ndcg"))
-        for split, targets, context in loo_parts(fx)
+        for split, targets, context in loo_parts(loo)
     ]
     return presented(metrics.union_results(parts))

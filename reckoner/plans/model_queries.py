@@ -14,7 +14,7 @@ from reckoner.plans.content_queries import LEVELS, tokens_of
 from reckoner.plans.ctes import BEAM
 from reckoner.plans.registry import presented, query
 from reckoner.plans.retrieval_queries import popularity_recs, targets_of
-from reckoner.plans.sequence_queries import train_of
+from reckoner.plans.sequence_queries import split_of, train_in, train_of
 from reckoner.sources.fixtures import Fixtures
 
 # Small ALS settings keep the registered queries quick; the library defaults are the full ones.
@@ -67,14 +67,11 @@ STATE_SQL = """SELECT user_id, i, sum(w * x) / sum(w) AS s FROM (
         FROM z_train QUALIFY rn <= 20) t JOIN z_emb e USING (item_id)) GROUP BY user_id, i"""
 
 
-def _states(fx: Fixtures) -> DataFrame:
-    vectors = fx.item_embeddings().withColumnRenamed("embedding", "vector")
-    return dotscore.history_state(train_of(fx), vectors)
-
-
 @query("ret_11_history_state", f"SELECT user_id, i AS dim, round(s, 6) AS value FROM ({STATE_SQL})")
 def ret_11(fx: Fixtures) -> DataFrame:
-    return presented(_states(fx).select("user_id", F.posexplode("vector").alias("dim", "value")))
+    vectors = fx.item_embeddings().withColumnRenamed("embedding", "vector")
+    states = dotscore.history_state(train_of(fx), vectors)
+    return presented(states.select("user_id", F.posexplode("vector").alias("dim", "value")))
 
 
 @query(
@@ -85,8 +82,10 @@ def ret_11(fx: Fixtures) -> DataFrame:
         WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM z_seen) QUALIFY rank <= 10""",
 )
 def ret_10(fx: Fixtures) -> DataFrame:
+    train = durable(train_of(fx))
     vectors = fx.item_embeddings().withColumnRenamed("embedding", "vector")
-    return presented(dotscore.score_dot_topk(_states(fx), vectors, pop.seen_pairs(train_of(fx)), 10))
+    states = durable(dotscore.history_state(train, vectors))
+    return presented(dotscore.score_dot_topk(states, vectors, pop.seen_pairs(train), 10))
 
 
 TRANSITIONS_SQL = """SELECT a AS item_id, b AS next_item, n, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY a) AS probability
@@ -115,15 +114,17 @@ def ret_12(fx: Fixtures) -> DataFrame:
        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY tier, rank) <= 20""",
 )
 def ret_12_topk(fx: Fixtures) -> DataFrame:
-    train = train_of(fx)
-    recs = tr.transition_topk(train, tr.fit_transitions(train), pop.seen_pairs(train), popularity_recs(fx), 20)
+    split = durable(split_of(fx))
+    train = train_in(split)
+    popular = popularity_recs(fx, 20, split)
+    recs = tr.transition_topk(train, tr.fit_transitions(train), pop.seen_pairs(train), popular, 20)
     return presented(recs)
 
 
-def model_of(fx: Fixtures) -> tuple[tm.TokenModel, DataFrame]:
+def model_of(fx: Fixtures, train: DataFrame | None = None) -> tuple[tm.TokenModel, DataFrame]:
     tokens, _ = tokens_of(fx)
     tokens = durable(tokens)
-    return tm.fit_token_model(train_of(fx), tokens, LEVELS + 1), tokens
+    return tm.fit_token_model(train_of(fx) if train is None else train, tokens, LEVELS + 1), tokens
 
 
 @query(
@@ -158,8 +159,8 @@ def ret_14(fx: Fixtures) -> DataFrame:
 
 @query("ret_15_beam_unseen", "SELECT user_id, item_id, round(score, 6) AS score, rank FROM z_beam_recs")
 def ret_15(fx: Fixtures) -> DataFrame:
-    train = train_of(fx)
-    model, tokens = model_of(fx)
+    train = durable(train_of(fx))
+    model, tokens = model_of(fx, train)
     return presented(tm.beam_topk(tm.user_contexts(train, tokens), model, pop.seen_pairs(train), BEAM, BEAM))
 
 
@@ -169,8 +170,8 @@ def ret_15(fx: Fixtures) -> DataFrame:
        WHERE n_recs < 8""",
 )
 def ret_15_short(fx: Fixtures) -> DataFrame:
-    train = train_of(fx)
-    model, tokens = model_of(fx)
+    train = durable(train_of(fx))
+    model, tokens = model_of(fx, train)
     recs = tm.beam_topk(tm.user_contexts(train, tokens), model, pop.seen_pairs(train), BEAM, BEAM)
     return presented(compose.short_lists(recs, targets_of(fx).select("user_id").distinct(), BEAM))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reckoner.functions.scalars import parse_price
 from reckoner.operators import cleaning, dimensions, sequences, splitting
-from reckoner.operators.ordering import scratch_path
+from reckoner.operators.ordering import durable, scratch_path
 from reckoner.plans.registry import presented, query
 from reckoner.sources import readers, writers
 from reckoner.sources.fixtures import Fixtures
@@ -321,7 +321,7 @@ def dim_04(fx: Fixtures) -> DataFrame:
         JOIN ({RATING_IDS_SQL.format(key="parent_asin")}) i ON i.natural_key = r.parent_asin""",
 )
 def dim_05(fx: Fixtures) -> DataFrame:
-    clean = cleaning.clean_ratings(fx.raw_ratings(), ["k1", "k2"])
+    clean = durable(cleaning.clean_ratings(fx.raw_ratings(), ["k1", "k2"]))
     users = dimensions.user_catalog(clean, "user_id")
     items = dimensions.dense_ids(clean, "parent_asin", "item_id").withColumnRenamed("parent_asin", "stock_code")
     encoded = dimensions.encode_ids(clean, users, "user_id", items, "parent_asin")

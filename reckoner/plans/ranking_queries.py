@@ -27,7 +27,7 @@ from reckoner.plans.content_queries import tokens_of
 from reckoner.plans.model_queries import ALS_OPTIONS, als_of, model_of
 from reckoner.plans.registry import presented, query
 from reckoner.plans.retrieval_queries import targets_of
-from reckoner.plans.sequence_queries import train_of
+from reckoner.plans.sequence_queries import split_of, targets_in, train_in, train_of
 from reckoner.sources import writers
 from reckoner.sources.fixtures import Fixtures
 
@@ -36,16 +36,18 @@ def val_targets(fx: Fixtures) -> DataFrame:
     return targets_of(fx).where(F.col("split") == "val").select("user_id", "item_id")
 
 
-def candidates_of(fx: Fixtures, targets: DataFrame | None = None) -> DataFrame:
+def candidates_of(fx: Fixtures, split: DataFrame | None = None) -> DataFrame:
     """Popularity top 100 of the validation users with score 1 / rank."""
-    train = train_of(fx)
-    users = (val_targets(fx) if targets is None else targets).select("user_id").distinct()
+    split = durable(split_of(fx)) if split is None else split
+    train = train_in(split)
+    users = targets_in(split).where(F.col("split") == "val").select("user_id").distinct()
     recs = pop.popularity_topk(pop.popularity(train), users, pop.seen_pairs(train), 100)
     return recs.withColumn("score", F.lit(1.0) / F.col("rank"))
 
 
 def features_of(fx: Fixtures) -> DataFrame:
-    return feat.candidate_features(candidates_of(fx), train_of(fx), fx.catalog(), fx.item_embeddings())
+    split = durable(split_of(fx))
+    return feat.candidate_features(durable(candidates_of(fx, split)), train_in(split), fx.catalog(), fx.item_embeddings())
 
 
 def labelled_of(fx: Fixtures) -> DataFrame:
@@ -331,7 +333,7 @@ def dia_02_control(fx: Fixtures) -> DataFrame:
     """Beam search on the users' own contexts and on another user's: the control must not do better."""
     train = durable(train_of(fx))
     targets, contexts = dia.pseudo_loo(train)
-    model, tokens = model_of(fx)
+    model, tokens = model_of(fx, train)
     nobody = targets.where(F.lit(False))
     parts = []
     for name, ctx in (("own", contexts), ("shuffled", dia.shuffled_contexts(durable(contexts)))):

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reckoner.operators import compose, popularity as pop
+from reckoner.operators.ordering import durable
 from reckoner.plans.registry import presented, query
-from reckoner.plans.sequence_queries import split_of, train_of
+from reckoner.plans.sequence_queries import split_of, targets_in, train_in, train_of
 from reckoner.sources.fixtures import Fixtures
 
 K = 20
 
 
 def targets_of(fx: Fixtures) -> DataFrame:
-    """Distinct (split, user, item) of the held-out rows."""
-    return split_of(fx).where(F.col("split") != "train").select("split", "user_id", "item_id").distinct()
+    return targets_in(split_of(fx))
 
 
-def popularity_recs(fx: Fixtures, k: int = K) -> DataFrame:
-    train = train_of(fx)
-    users = targets_of(fx).select("user_id").distinct()
+def popularity_recs(fx: Fixtures, k: int = K, split: DataFrame | None = None) -> DataFrame:
+    """Unseen popularity lists of all users with held-out rows. The labelled rows are staged once for all uses."""
+    split = durable(split_of(fx)) if split is None else split
+    train = train_in(split)
+    users = targets_in(split).select("user_id").distinct()
     return pop.popularity_topk(pop.popularity(train), users, pop.seen_pairs(train), k)
 
 

@@ -14,8 +14,17 @@ def split_of(fx: Fixtures) -> DataFrame:
     return splitting.time_split(fx.interactions())
 
 
+def train_in(split: DataFrame) -> DataFrame:
+    return split.where(F.col("split") == "train").drop("split")
+
+
+def targets_in(split: DataFrame) -> DataFrame:
+    """Distinct (split, user, item) of the held-out rows."""
+    return split.where(F.col("split") != "train").select("split", "user_id", "item_id").distinct()
+
+
 def train_of(fx: Fixtures) -> DataFrame:
-    return split_of(fx).where(F.col("split") == "train").drop("split")
+    return train_in(split_of(fx))
 
 
 @query("spl_01_time_split", "SELECT user_id, item_id, us, k1, k2, split FROM z_split")
