@@ -22,10 +22,14 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row. Inside a lambda Spark would repeat it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """L2-normalise; a zero vector is returned as it is."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
+    return bound(norm(v), lambda length: F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v))
 
 
 def minus(a: Column, b: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from reckoner.functions.scalars import SCORE_DIGITS
 from reckoner.functions.vectors import as_doubles, unit
 from reckoner.operators.compose import ranked
-from reckoner.operators.ordering import newest
+from reckoner.operators.ordering import durable, newest
 
 CHUNK_BYTES = 64 << 20  # vectors of one chunk
 SCORE_CELLS = 4 << 20  # cells of the score matrix held at a time
@@ -137,6 +137,7 @@ def _blocked(left: DataFrame, right: DataFrame, listed: DataFrame, chunk_bytes:
 
     Every column gets a new alias: a cogroup whose two sides share attributes loses columns to pruning.
     """
+    left, right = durable(left), durable(right)  # each side is counted and then replicated
     parallelism = left.sparkSession.sparkContext.defaultParallelism
     n_right = _chunks(right, 1, chunk_bytes)
     n_left = _chunks(left, max(1, 2 * parallelism // n_right), chunk_bytes)
