@@ -207,7 +207,10 @@ def utilisation(sids: DataFrame, codebooks: DataFrame) -> DataFrame:
 
 
 def prefix_relatives(sids: DataFrame, queries: DataFrame, digits: int) -> DataFrame:
-    """Other items that share the first ``digits`` codes with the given query items."""
+    """Other items that share the first ``digits`` codes with a few given query items.
+
+    The output is one row per query and relative; use ``family_sizes`` for a whole catalogue.
+    """
     keys = level_columns(sids)[:digits]
     wanted = sids.join(queries.select("item_id"), "item_id", "left_semi").select(F.col("item_id").alias("query_id"), *keys)
     return sids.select("item_id", *keys).join(wanted, keys).where(F.col("item_id") != F.col("query_id")).select("query_id", "item_id")

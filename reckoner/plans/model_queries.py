@@ -22,7 +22,7 @@ ALS_OPTIONS = {"factors": 16, "iterations": 5}
 
 
 @lru_cache(maxsize=4)
-def _fitted(session_id: int, folder: str):
+def _fitted(application: str, folder: str):
     from pyspark.sql import SparkSession
 
     return factors.fit_als(train_of(Fixtures(SparkSession.active(), folder)), **ALS_OPTIONS)
@@ -30,7 +30,7 @@ def _fitted(session_id: int, folder: str):
 
 def als_of(fx: Fixtures):
     """One fitted model per session and folder, shared by the queries that only read its factors."""
-    return _fitted(id(fx.spark.sparkContext), fx.folder)
+    return _fitted(fx.spark.sparkContext.applicationId, fx.folder)
 
 
 @query("ret_04_als_fit")

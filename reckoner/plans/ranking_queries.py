@@ -155,7 +155,7 @@ def rnk_11(fx: Fixtures) -> DataFrame:
 
 
 @lru_cache(maxsize=4)
-def _training_table(session_id: int, folder: str) -> DataFrame:
+def _training_table(application: str, folder: str) -> DataFrame:
     """Labelled candidates of the sampled users that have a retrieved positive, written once per session."""
     from pyspark.sql import SparkSession
 
@@ -165,18 +165,18 @@ def _training_table(session_id: int, folder: str) -> DataFrame:
 
 
 def training_of(fx: Fixtures) -> DataFrame:
-    return _training_table(id(fx.spark.sparkContext), fx.folder)
+    return _training_table(fx.spark.sparkContext.applicationId, fx.folder)
 
 
 @lru_cache(maxsize=4)
-def _ranker(session_id: int, folder: str):
+def _ranker(application: str, folder: str):
     from pyspark.sql import SparkSession
 
     return rr.fit_gbt_ranker(training_of(Fixtures(SparkSession.active(), folder)), trees=10)
 
 
 def ranker_of(fx: Fixtures):
-    return _ranker(id(fx.spark.sparkContext), fx.folder)
+    return _ranker(fx.spark.sparkContext.applicationId, fx.folder)
 
 
 MARGIN_MEANS = ", ".join(f"avg(CASE WHEN label = 0 THEN {c} END) AS m_{c}" for c in feat.FEATURES)
