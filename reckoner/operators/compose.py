@@ -18,6 +18,11 @@ def top_unseen(users: DataFrame, lists: DataFrame, seen: DataFrame, k: int) -> D
     entries, so the gaps that matter are known from the seen ranks alone, and only the ``k`` ranks that survive
     are generated and looked up. Work is linear in (seen pairs + users * k).
     """
+    return unseen_entries(users, lists, seen, k).drop("list_id")
+
+
+def unseen_entries(users: DataFrame, lists: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    """``top_unseen`` for users that may have several lists: one block of ranks per (user, list)."""
     users = users.select("user_id", "list_id")
     places = lists.select("list_id", "item_id", "rank")
     hits = seen.select("user_id", "item_id").join(users, "user_id").join(places, ["list_id", "item_id"])
@@ -34,7 +39,7 @@ def top_unseen(users: DataFrame, lists: DataFrame, seen: DataFrame, k: int) -> D
     )
     entries = lists.select("list_id", F.col("rank").cast("long").alias("_list_rank"), "item_id", "score")
     return wanted.join(entries, ["list_id", "_list_rank"]).select(
-        "user_id", "item_id", "score", (F.col("_list_rank") - F.col("_before")).cast("int").alias("rank")
+        "user_id", "list_id", "item_id", "score", (F.col("_list_rank") - F.col("_before")).cast("int").alias("rank")
     )
 
 

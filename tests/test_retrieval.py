@@ -103,6 +103,21 @@ def test_transition_probabilities_sum_to_one(spark):
     assert all(abs(r[1] - 1) < 1e-9 for r in t.groupBy("item_id").agg(F.sum("probability")).collect())
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_transition_threshold_way_is_exact(spark, seed):
+    rng = random.Random(seed)
+    # item 0 is a third of all rows, so its successor list is long
+    rows = [(rng.randrange(12), 0 if rng.random() < 0.34 else min(rng.randrange(40), rng.randrange(40)), t) for t in range(900)]
+    df = history(spark, rows)
+    seen = df.where("k1 < 500").select("user_id", "item_id").distinct().where("item_id < 12")
+    nobody = spark.createDataFrame([], "user_id long, item_id long, score double, rank int")
+    transitions = tr.fit_transitions(df)
+    whole = tr.transition_topk(df, transitions, seen, nobody, 6)
+    cut = tr.transition_topk(df, transitions, seen, nobody, 6, long_list=5)
+    assert _by_user(whole, "item_id", "score") == _by_user(cut, "item_id", "score")
+    assert len(_by_user(whole, "item_id")) == 12
+
+
 @pytest.fixture(scope="module")
 def token_setup(spark):
     rng = random.Random(12)
