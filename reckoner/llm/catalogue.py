@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.llm import line_dedup as lines
-from reckoner.llm import maxscore, mixing, packing
+from reckoner.llm import maxscore, mixing, packing, toxicity
 from reckoner.llm import url_filter as urls
 from reckoner.llm.common import table
 
@@ -126,6 +126,14 @@ def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    predicted = (F.col("_score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("_score").alias("score"), predicted)
+
+
 @query("op10_hierarchical_packing")
 def op10_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(TOKENIZER))
