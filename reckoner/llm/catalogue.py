@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.llm import line_dedup as lines
-from reckoner.llm import maxscore, mixing, packing, toxicity
+from reckoner.llm import maxscore, mixing, ngram_jaccard, packing, toxicity
 from reckoner.llm import url_filter as urls
 from reckoner.llm.common import table
 
@@ -134,6 +134,12 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("_score").alias("score"), predicted)
 
 
+@query("op8_ngram_jaccard_join")
+def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_class").alias("class_id"), F.col("_links").alias("n_links"), F.col("_kept").alias("kept"))
+
+
 @query("op10_hierarchical_packing")
 def op10_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(TOKENIZER))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 # the id. Scoring has no bounds.
 TRAIN_PER_CLASS = 1_500
 TRAIN_CHARS = 8_000
+LEAST_STEPS = 40  # of each round, so that few documents get more passes
 
 WINDOW, STRIDE = 48, 40
 _HIDDEN, _WORD_DIM, _CHAR_DIM = 8, 8, 16
@@ -356,12 +357,13 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 5, batch: int = 384,
         ones = max(target.sum(), 1)
         weight = np.where(target == 1, (len(target) - ones) / ones, 1.0).astype(np.float32)
         adam.rate = 0.01 if number < rounds - 2 else 0.003
-        passes = 1 if number == 0 else 2
+        some = min(batch, max(32, len(chosen) // 16))
+        passes = max(1 if number == 0 else 2, -(-LEAST_STEPS * some // len(chosen)))
         for _ in range(passes):
-            for i in range(0, len(chosen), batch):
-                part = chosen[i : i + batch]
+            for i in range(0, len(chosen), some):
+                part = chosen[i : i + some]
                 subset, grid = _subset(words, _grid(words, first[part], size[part]))
-                adam.step(network.gradients(subset, grid, target[i : i + batch], weight[i : i + batch]))
+                adam.step(network.gradients(subset, grid, target[i : i + some], weight[i : i + some]))
     logits, _ = window_logits(words, _Memo(network))
     tops = np.maximum.reduceat(logits, starts)
     network.p["c"][0] -= best_cut(tops[aside], labels[aside]) if 0 < labels[aside].sum() < aside.sum() else best_cut(tops, labels)
