@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.llm import line_dedup as lines
-from reckoner.llm import maxscore, mixing, ngram_jaccard, packing, toxicity
+from reckoner.llm import maxscore, mixing, ngram_jaccard, packing, pii, toxicity
 from reckoner.llm import url_filter as urls
 from reckoner.llm.common import table
 
@@ -140,6 +140,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.col("_class").alias("class_id"), F.col("_links").alias("n_links"), F.col("_kept").alias("kept"))
 
 
+@query("op9_pii_candidates")
+def op9_pii_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, folder, "documents"))
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 @query("op10_hierarchical_packing")
 def op10_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(TOKENIZER))
