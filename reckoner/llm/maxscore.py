@@ -13,26 +13,21 @@ from reckoner.llm.common import stage
 
 SHARD_ROWS = 16_384
 QUERY_ROWS = 65_536
-_LIST = 512  # postings that a query reads at once
 
 
 class Shard:
-    """Vectors of a shard with one posting list per term. A term is a dimension and a sign; its impact is |component|.
-
-    Lists are in order of falling impact, so a prefix of a list holds all its larger impacts.
-    """
+    """Vectors of a shard with one posting list per term. A term is a dimension and a sign; its impact is |component|."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.lists, self.tops = {}, {}
+        self.lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int]] = {}
         for d in range(vectors.shape[1]):
-            column = self.vectors[:, d]
+            column = np.ascontiguousarray(self.vectors[:, d])
             for sign in (1, -1):
                 rows = np.flatnonzero(column * sign > 0)
-                rows = rows[np.argsort(-column[rows] * sign, kind="stable")]
-                self.lists[d, sign] = rows
-                self.tops[d, sign] = int(column[rows[0]] * sign) if len(rows) else 0
+                impacts = column[rows] * sign
+                self.lists[d, sign] = rows, impacts, int(impacts.max()) if len(rows) else 0
 
     def search(self, own: int, query: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
         """(score, id) of the best k rows of the shard other than id ``own``, by falling score and rising id.
@@ -40,80 +35,42 @@ class Shard:
         ``floor``: a score that k rows of the table are known to reach; rows below it are of no use.
 
         The terms whose sign agrees with the query's can raise a score, by at most weight x top impact each; the opposite
-        terms only lower it. Terms are sorted by that bound. Those at the low end whose bounds sum to less than the
-        threshold are non-essential: a row in none of the other lists cannot reach it. Essential lists are traversed from
-        the front. A list is left as soon as its next impact, with the bounds of all other terms, cannot reach the
-        threshold. New rows get their essential terms summed; those still competitive are probed term by term in the
-        non-essential ones, and at last in the opposite terms.
+        terms only lower it. Terms are sorted by that bound. Those at the low end whose bounds sum to less than the floor
+        are non-essential: a row in none of the other lists cannot reach it. The essential lists are traversed and summed.
+        Rows whose sum, with the bounds of all non-essential terms, still reaches the floor are probed in these terms one
+        by one, from the highest bound, as long as they can reach it. Rows that are left get the opposite terms too.
+        Without a positive floor a row in no list may count, so all rows are probed.
         """
         dims = np.flatnonzero(query)
-        signs = np.sign(query[dims])
-        weights = np.abs(query[dims]).astype(np.int64)
-        tops = np.array([self.tops[d, s] for d, s in zip(dims, signs)], dtype=np.int64)
-        bounds = weights * tops
-        order = np.argsort(bounds, kind="stable")
-        dims, signs, weights, bounds = dims[order], signs[order], weights[order], bounds[order]
-        reach = np.concatenate([[0], np.cumsum(bounds)])
-        best: list[tuple[int, int]] = []
-        seen = self.ids == own
-
-        def threshold() -> int | None:
-            mine = -best[k - 1][0] if len(best) >= k else None
-            return mine if floor is None else floor if mine is None else max(mine, floor)
-
-        def offer(rows: np.ndarray, scores: np.ndarray) -> None:
-            low = threshold()
-            if low is not None:
-                rows, scores = rows[scores >= low], scores[scores >= low]
-            best.extend(zip((-scores).tolist(), self.ids[rows].tolist()))
-            best.sort()
-            del best[k:]
-
-        def probe(rows: np.ndarray, split: int) -> None:
-            """Rows in an essential list that were not seen before."""
-            part = np.maximum(self.vectors[np.ix_(rows, dims[split:])] * signs[split:], 0) @ weights[split:]
-            low = threshold()
-            at = split
-            while at and low is not None and len(rows):
-                keep = part + reach[at] >= low
-                rows, part = rows[keep], part[keep]
-                at -= 1
-                part = part + np.maximum(self.vectors[rows, dims[at]] * signs[at], 0) * weights[at]
-            if not len(rows):
-                return
-            if low is not None:
-                rows = rows[part >= low]
-            offer(rows, self.vectors[rows] @ query)
-
-        position = np.zeros(len(dims), dtype=np.int64)
-        at = len(dims) - 1
-        while at >= 0:
-            low = threshold()
-            if low is not None and reach[at + 1] < low:
-                break  # this term and all below are non-essential
-            rows = self.lists[dims[at], signs[at]]
-            start = position[at]
-            if start < len(rows) and low is not None:
-                # rows from here on hold at most the next impact of this term, and no essential term that is done
-                next_bound = weights[at] * abs(int(self.vectors[rows[start], dims[at]]))
-                if reach[at] + next_bound < low:
-                    start = len(rows)
-            if start >= len(rows):
-                at -= 1
-                continue
-            chunk = rows[start : start + _LIST]
-            position[at] = start + len(chunk)
-            fresh = chunk[~seen[chunk]]
-            seen[fresh] = True
-            if len(fresh):
-                split = 0 if low is None else int(np.searchsorted(reach[1:], low))
-                probe(fresh, min(split, at))
-        low = threshold()
-        if low is None or low <= 0:  # rows in no list can still count
-            rest = np.flatnonzero(~seen)
-            if len(rest):
-                offer(rest, self.vectors[rest] @ query)
-        return [(-s, i) for s, i in best]
+        terms = [(int(d), 1 if query[d] > 0 else -1, abs(int(query[d]))) for d in dims]
+        terms.sort(key=lambda t: (t[2] * self.lists[t[0], t[1]][2], t[0]))
+        reach = np.cumsum([0, *(w * self.lists[d, s][2] for d, s, w in terms)]).tolist()
+        split = 0 if floor is None or floor <= 0 else next((i for i in range(len(terms)) if reach[i + 1] >= floor), len(terms))
+        sums = np.zeros(len(self.ids), dtype=np.int64)
+        for d, s, w in terms[split:]:
+            rows, impacts, _ = self.lists[d, s]
+            sums[rows] += w * impacts
+        if floor is None:
+            rows = np.arange(len(sums))
+        else:
+            rows = np.flatnonzero(sums + reach[split] >= floor)
+            for at in range(split - 1, -1, -1):
+                if not len(rows):
+                    break
+                d, s, w = terms[at]
+                sums[rows] += w * np.maximum(self.vectors[rows, d] * s, 0)
+                rows = rows[sums[rows] + reach[at] >= floor]
+        scores = self.vectors[rows] @ query
+        usable = self.ids[rows] != own
+        if floor is not None:
+            usable &= scores >= floor
+        rows, scores = rows[usable], scores[usable]
+        if len(rows) > k:  # rows are in order of id, so of equal scores the first stay
+            cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+            rows, scores = rows[scores >= cut], scores[scores >= cut]
+            best = np.lexsort((self.ids[rows], -scores))[:k]
+            rows, scores = rows[best], scores[best]
+        return list(zip(scores.tolist(), self.ids[rows].tolist()))
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
