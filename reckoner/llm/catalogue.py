@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.llm import line_dedup as lines
-from reckoner.llm import maxscore, mixing, ngram_jaccard, packing, pii, toxicity
+from reckoner.llm import cap_filters, maxscore, mixing, ngram_jaccard, packing, pii, toxicity
 from reckoner.llm import url_filter as urls
 from reckoner.llm.common import table
 
@@ -134,6 +134,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("_score").alias("score"), predicted)
 
 
+@query("op7_embedding_near_dedup")
+def op7_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op8_ngram_jaccard_join")
 def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = ngram_jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
