@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.llm import line_dedup as lines
-from reckoner.llm import cap_filters, maxscore, mixing, ngram_jaccard, packing, pii, toxicity
+from reckoner.llm import cap_filters, maxscore, mixing, ngram_jaccard, packing, pii, substring_dedup, toxicity
 from reckoner.llm import url_filter as urls
 from reckoner.llm.common import table
 
@@ -29,6 +29,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.shared_passages(table(spark, folder, "documents"))
+
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 

@@ -23,10 +23,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, text after text, and the number of words of each.
+def word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, text after text, the number of words of each text, and starts and ends.
 
-    Words are runs of letters and digits of the lower-cased text; characters beyond the table count as letters.
+    Words are runs of letters and digits of the lower-cased text; characters beyond the table count as letters. Starts and
+    ends are code points of the text (of its lower-cased form, where that has another length).
     """
     lowered = [t.lower() for t in texts]
     codes = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -43,9 +44,16 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(codes), dtype=np.int32) - np.maximum.accumulate(opened)
     factors = _PLACE_HASH[place & (_PLACES - 1)] + (place >> 6).astype(np.uint64) * np.uint64(0x94D049BB133111EA)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * factors, dtype=np.uint64)])
-    lengths = np.cumsum([len(t) + 1 for t in lowered])
+    size = np.array([len(t) + 1 for t in lowered], dtype=np.int64)
+    lengths = np.cumsum(size)
     counts = np.diff(np.searchsorted(starts, lengths), prepend=0)
-    return mixed(sums[ends] - sums[starts]), counts
+    base = np.repeat(lengths - size, counts)
+    return mixed(sums[ends] - sums[starts]), counts, starts - base, ends - base
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, text after text, and the number of words of each."""
+    return word_places(texts)[:2]
 
 
 def gram_sets(texts: list[str], n: int) -> list[np.ndarray]:
