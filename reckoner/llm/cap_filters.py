@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reckoner.llm.common import stage
+from reckoner.llm.common import pick, stage
 from reckoner.llm.components import components
 
 THRESHOLD = 0.93
@@ -215,13 +215,14 @@ def near_vectors(
     their own id as component. Vectors of different lengths do not link. Rows that repeat an id are rows of their own;
     a null id never names a component unless all its ids are null.
     """
-    v = F.col(vector_col)
+    vectors = pick(vectors, _id=id_col, _vector=vector_col, _of=label_col)
+    v = F.col("_vector")
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    usable = F.col(label_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda c: c != 0)
+    usable = F.col("_of").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda c: c != 0)
     plain = F.transform(v, lambda c: c.cast("double"))
     rows = vectors.select(
-        F.col(id_col).alias("_id"),
-        F.col(label_col).cast("string").alias("_label"),
+        "_id",
+        F.col("_of").cast("string").alias("_label"),
         F.when(F.coalesce(usable, F.lit(False)), plain).alias("_v"),
     )
     rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()))

@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reckoner.llm.common import document_key, stage
+from reckoner.llm.common import document_key, shielded, stage, unshielded, with_fields
 
 # Fixed value: the characters stripped from both ends of a line, [\x20\x09-\x0D].
 LINE_SPACE = b" \t\n\x0b\x0c\r"
@@ -74,15 +75,20 @@ def line_dedup(
     join of texts is on an even key.
 
     Null and empty texts are one empty line; their text becomes empty. Rows that repeat an id are one document for the
-    counts and each keep their own row. Rows without an id are told apart by their text. Other columns pass through.
+    counts and each keep their own row. Rows without an id are told apart by their text. Other columns pass through; one
+    that has the name of an added column is replaced.
     """
-    columns = [c for c in docs.columns]
+    names = docs.columns
+    id_col, text_col = (f"in{names.index(c)}" for c in (id_col, text_col))
+    docs = shielded(docs)
+    columns = docs.columns
     docs = docs.withColumn("_doc", document_key(id_col, text_col))
     keys = docs.select("_doc", F.col(text_col).cast("string").alias("_text"))
     pairs = stage(keys.mapInArrow(partial(_hash_lines, min_chars=min_chars), "_doc string, _line binary").distinct())
     frequent = pairs.groupBy("_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).select("_line")
     drops = pairs.join(frequent, "_line").groupBy("_doc").agg(F.collect_set("_line").alias("_drops"))
-    joined = docs.join(drops, "_doc", "left").select(*columns, "_drops")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
+    joined = docs.join(drops, "_doc", "left").select(*columns, "_drops").withColumn(text_col, F.col(text_col).cast("string"))
+    plain = docs.select(*columns).withColumn(text_col, F.lit("")).schema
+    out = with_fields(plain, _n_lines=T.LongType(), _n_dropped=T.LongType())
     drop = partial(_drop_lines, text_at=columns.index(text_col), drops_at=len(columns), min_chars=min_chars)
-    return joined.mapInArrow(drop, f"{out}, _n_lines long, _n_dropped long")
+    return unshielded(joined.mapInArrow(drop, out), names, ["_n_lines", "_n_dropped"])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reckoner.llm.common import stage
+from reckoner.llm.common import pick, stage
 
 SHARD_ROWS = 16_384
 QUERY_ROWS = 65_536
@@ -137,7 +137,7 @@ def top_inner_products(
     that repeat an id and vector are taken once, rows with one id and several vectors are candidates each, and the lists
     of such queries are merged. An empty table gives no rows.
     """
-    rows = stage(integer_vectors(vectors.select(id_col, vector_col), id_col, vector_col, scale).distinct())
+    rows = stage(integer_vectors(pick(vectors, _id=id_col, _vector=vector_col), "_id", "_vector", scale).distinct())
     queries = rows.where(is_query).select(F.col("_id").alias("_own"), F.col("_v").alias("_query"))
     shards = max(1, -(-rows.count() // shard_rows))
     blocks = max(1, -(-queries.count() // query_rows))

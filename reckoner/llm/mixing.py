@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reckoner.llm.common import small, stage
+from reckoner.llm.common import shielded, small, stage, unshielded
 
 # exp(-mean) must not underflow: a larger mean is the sum of this many-at-most independent draws.
 MEAN_PER_DRAW = 500.0
@@ -76,9 +76,13 @@ def mix_sources(
     adaptive split of the large source. Dealing goes by (id, copy), so a source of any size is spread.
 
     A null source is a source of its own. Rows with equal ids get equal counts; a null id counts as an empty string.
-    An empty table gives an empty table. Empty texts weigh one character.
+    An empty table gives an empty table. Empty texts weigh one character. Other columns pass through; one that has the name
+    of an added column is replaced.
     """
-    columns = [F.col(c) for c in docs.columns]
+    names = docs.columns
+    id_col, text_col, source_col = (f"in{names.index(c)}" for c in (id_col, text_col, source_col))
+    docs = shielded(docs)
+    columns = docs.columns
     rows = docs.withColumns({"_source": F.col(source_col).cast("string"), "_text": F.col(text_col).cast("string")})
     rates = source_rates(rows.select("_source", "_text"), targets, power, total)
     rates = rates.select(F.col("_source").alias("_s"), "rate", "draws", "cdf")
@@ -91,4 +95,5 @@ def mix_sources(
     dealt = known.select(*columns, copy, F.col("rate").alias("_rate"))
     order = F.md5(F.concat_ws(":", F.lit(f"{seed} order"), key, F.col("_copy").cast("string")))
     dealt = dealt.withColumn("_order", order)
-    return dealt.repartition(F.col("_order")).sortWithinPartitions("_order")
+    dealt = dealt.repartition(F.col("_order")).sortWithinPartitions("_order")
+    return unshielded(dealt, names, ["_copy", "_rate", "_order"])

@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reckoner.llm.common import stage
+from reckoner.llm.common import shielded, stage, unshielded, with_fields
 from reckoner.llm.components import components
 from reckoner.llm.shingles import gram_sets, mixed
 from reckoner.operators.ordering import positions
@@ -193,13 +194,18 @@ def near_duplicates(
 
     Texts without words have no n-grams and link with nothing: each is kept, its class is its own id. Null texts count as
     empty, texts of one to four words have one n-gram of all their words. Rows with a null or repeated id are rows of their
-    own; a class of null ids only has a null id. Other columns pass through. The kept row has the smallest id of its class.
+    own; a class of null ids only has a null id. The kept row has the smallest id of its class. Other columns pass through;
+    one that has the name of an added column is replaced.
     """
+    names = docs.columns
+    id_col, text_col = (f"in{names.index(c)}" for c in (id_col, text_col))
+    docs = shielded(docs)
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     columns = docs.columns
     bands = bands_for(threshold, band_rows, recall)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    kinds = with_fields(docs.schema, _set=T.BinaryType(), _grams=T.LongType(), _bands=T.ArrayType(T.LongType()))
     describe = partial(_describe, text_at=columns.index(text_col), words=words, bands=bands, rows=band_rows)
-    described = docs.mapInArrow(describe, f"{kinds}, _set binary, _grams long, _bands array<long>")
+    described = docs.mapInArrow(describe, kinds)
     rows = stage(described.withColumn("_row", F.monotonically_increasing_id()))
 
     full = rows.where(F.col("_set").isNotNull())
@@ -220,9 +226,10 @@ def near_duplicates(
     )
     joined = rows.join(known, "_set", "left")
     alone = F.col("_first").isNull()
-    return joined.select(
-        *[F.col(c) for c in columns],
+    judged = joined.select(
+        *columns,
         F.when(alone, F.col(id_col)).otherwise(F.col("_first.id")).alias("_class"),
         F.coalesce("_n", F.lit(0)).cast("long").alias("_links"),
         (alone | (F.col("_first.row") == F.col("_row"))).alias("_kept"),
     )
+    return unshielded(judged, names, ["_class", "_links", "_kept"])

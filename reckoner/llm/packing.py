@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reckoner.llm.common import pick
+
 END_ID = 1
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -364,7 +366,7 @@ def pack_documents(
 
     Null and empty texts are one piece that holds ``end_id``. Rows that repeat are packed once each; a null id stays null.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = pick(docs, _id=id_col, _text=text_col).withColumn("_text", F.col("_text").cast("string"))
     packer = partial(_pack_batches, path=tokenizer, window=window, tiers=tuple(tiers), end_id=end_id, shard_tokens=shard_tokens)
     packed = rows.mapInArrow(packer, f"_id {rows.schema[0].dataType.simpleString()}, {_OUT}")
     return packed.withColumnRenamed("_id", id_col)

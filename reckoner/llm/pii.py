@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reckoner.llm.common import stage
+from reckoner.llm.common import pick, stage
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -243,7 +243,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no spans. Repeated rows and ids are rows of their own; a null id stays null. With too few
     candidates to fit, or of one class only, nothing is added.
     """
-    rows = with_spans(docs.select(F.col(id_col), F.col(text_col)), text_col).drop(text_col)
+    rows = with_spans(pick(docs, _id=id_col, _text=text_col), "_text").drop("_text")
     fitted = fit_trees(rows)
     added = F.expr("cast(array() as array<struct<start:int,k:int,end:int,kind:string>>)")
     if fitted:
@@ -262,7 +262,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base_kinds = F.transform("_base", lambda c: c.kind)
     counts = [(F.size(base_kinds) - F.size(F.array_remove(base_kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select(
-        id_col,
+        F.col("_id").alias(id_col),
         *counts,
         _text(F.col("_base")).alias("base"),
         _text(F.array_sort(F.concat("_base", "_added"))).alias("spans"),

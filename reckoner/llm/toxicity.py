@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from reckoner.llm.common import pick, shielded, unshielded, with_fields
 
 # The fit is bounded: at most so many labelled documents of each class, of at most so many characters each, by a hash of
 # the id. Scoring has no bounds.
@@ -426,9 +429,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     An id's label is 1 if any of its labels is; other labels than 0 and 1 are ignored.
     """
-    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    marks = pick(labels, _id=id_col, _label=label_col)
+    marks = marks.where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
+    marks = marks.groupBy("_id").agg(F.max("_label").alias("_label"))
+    rows = pick(docs, _id=id_col, _text=text_col).withColumn("_text", F.col("_text").cast("string"))
     rows = rows.where(F.length("_text").between(1, TRAIN_CHARS)).join(marks, "_id")
     rows = rows.withColumn("_order", F.xxhash64(F.col("_id").cast("string")))
     found = []
@@ -443,8 +447,12 @@ def score(docs: DataFrame, network: Network, text_col: str = "text") -> DataFram
     """``docs`` with ``_score`` (0 to 1): the highest score of all overlapping windows of the whole text.
 
     Rows are scored where they are, without a shuffle; the network is a few MB whatever the data. Null and empty texts
-    have one empty window and get the score of no words. Other columns pass through.
+    have one empty window and get the score of no words. Other columns pass through; a ``_score`` is replaced.
     """
+    names = docs.columns
+    at = names.index(text_col)
+    docs = shielded(docs)
+    docs = docs.withColumn(f"in{at}", F.col(f"in{at}").cast("string"))
     model = docs.sparkSession.sparkContext.broadcast(network.p)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(partial(_score_batches, model=model, text_at=docs.columns.index(text_col)), f"{out}, _score double")
+    out = with_fields(docs.schema, _score=T.DoubleType())
+    return unshielded(docs.mapInArrow(partial(_score_batches, model=model, text_at=at), out), names, ["_score"])

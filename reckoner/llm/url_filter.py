@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reckoner.llm.common import pick
+
 # Own lists. One strict term rejects a url; soft terms reject when the weights of distinct ones reach SOFT_LIMIT.
 STRICT_TERMS = ("adult", "bets", "betting", "casino", "escort", "gambling", "hentai", "jackpot", "nude", "porn", "porno",
                 "poker", "sex", "slots", "viagra", "warez", "xxx")
@@ -100,15 +102,15 @@ def url_filter(
     itself, so repeated rows and ids are no special case.
     """
     soft = SOFT_TERMS if soft is None else soft
-    rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("_url"))
-    out = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, _url string, strict_hits long, soft_hits long, soft_weight long"
+    rows = pick(pages, _id=id_col, _url=url_col).withColumn("_url", F.col("_url").cast("string"))
+    out = f"_id {rows.schema[0].dataType.simpleString()}, _url string, strict_hits long, soft_hits long, soft_weight long"
     counted = rows.mapInArrow(partial(_count_terms, url_at=1, strict=strict, soft=soft), out)
     url = F.coalesce(F.col("_url"), F.lit(""))
     judged = counted.withColumns({"host": url_host(url), "path": url_path(url)})
     judged = judged.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
     own = F.when((F.col("strict_hits") > 0) | (F.col("soft_weight") >= soft_limit), "block").otherwise("allow")
     return judged.select(
-        id_col,
+        F.col("_id").alias(id_col),
         "host",
         "path",
         F.col("_rule.rule").alias("rule"),
