@@ -27,7 +27,7 @@ BASE_PATTERNS = {
 }
 # Generators: anything in the form of each kind, whether or not it would validate. Matches of different kinds may overlap.
 CANDIDATE_PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?[\[(](?:at|AT)[\])] ?)[A-Za-z0-9-]++"
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?(?:\((?:at|AT)\)|\[(?:at|AT)\]) ?)[A-Za-z0-9-]++"
     r"(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]{1,4}+(?:[.,][0-9]{1,4}+){3}+(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ ._/-]?[0-9]){11,18}+(?![0-9])",
@@ -41,6 +41,7 @@ CONTEXT = {
     "card": "card|visa|master|amex|credit|pay",
     "phone": "tel|phone|call|fax|mobile|cell",
 }
+_MAIL_SIGNS = ("@", "(at)", "(AT)", "[at]", "[AT]")
 FIT_CANDIDATES = 20_000  # candidates that the trees are fitted and calibrated on, at most
 LEAST_FIT = 60
 PRECISION = 0.95
@@ -53,11 +54,16 @@ def _with_matches(docs: DataFrame, text: str, patterns: dict[str, str], prefix:
 
     Starts are sums of the lengths of gaps and matches, in code points.
     """
-    parts = {}
-    for kind, pattern in patterns.items():
-        parts[f"_m_{kind}"] = F.regexp_extract_all(F.col(text), F.lit(pattern), 0)
-        parts[f"_g_{kind}"] = F.split(F.col(text), pattern, -1)
-    out = docs.withColumns(parts)
+    t = F.col(text)
+    mail = reduce(lambda a, b: a | b, [t.contains(x) for x in _MAIL_SIGNS])
+    out = docs.withColumn("_digits", t.rlike("[0-9]"))
+    matches = {}
+    for kind, pattern in patterns.items():  # a text without a kind's necessary characters is not searched
+        possible = mail if kind == "email" else F.col("_digits")
+        matches[f"_m_{kind}"] = F.when(possible, F.regexp_extract_all(t, F.lit(pattern), 0)).otherwise(F.expr("cast(array() as array<string>)"))
+    out = out.withColumns(matches)
+    gaps = {f"_g_{kind}": F.when(F.size(f"_m_{kind}") > 0, F.split(t, pattern, -1)) for kind, pattern in patterns.items()}
+    out = out.withColumns(gaps)
     spans = {}
     for kind in patterns:
         m, g = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
@@ -65,7 +71,7 @@ def _with_matches(docs: DataFrame, text: str, patterns: dict[str, str], prefix:
         start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
         every = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, _grower(m, g), lambda acc: acc.spans)
         spans[f"{prefix}{kind}"] = F.when(F.size(m) > 0, every).otherwise(none)
-    return out.withColumns(spans).drop(*parts)
+    return out.withColumns(spans).drop("_digits", *matches, *gaps)
 
 
 def _grower(m: Column, g: Column):
