@@ -16,10 +16,11 @@ from reckoner.llm.components import components
 THRESHOLD = 0.93
 CODES = 12  # independent codes, each with its own rotation
 CODEWORDS = 128  # in each of the two parts of a code: CODEWORDS ** 2 filters
-CAP = 3.5  # a vector passes a filter whose inner product is this many standard deviations of a random one
+CAP = 3.6  # a vector passes a filter whose inner product is this many standard deviations of a random one
 BLOCK_ROWS = 512
 _SMALL_GROUP = 48
 _PAIRS = 20_000
+_COLUMNS = 2_048
 
 
 @lru_cache(maxsize=256)
@@ -73,19 +74,6 @@ def _add_filters(batches: Iterator[pa.RecordBatch], at: int, codes: int, codewor
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(filters, pa.list_(pa.int64()))], [*batch.schema.names, "_filters"])
 
 
-def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest number that both of two padded rows hold (rows are padded with -1 and -2)."""
-    same = (a[:, :, None] == b[:, None, :]).any(axis=2)
-    return np.where(same, a, np.iinfo(np.int64).max).min(axis=1)
-
-
-def _padded(lists: list, fill: int) -> np.ndarray:
-    out = np.full((len(lists), max(map(len, lists))), fill, dtype=np.int64)
-    for row, values in zip(out, lists):
-        row[: len(values)] = values
-    return out
-
-
 class _Links:
     """Rows of whole groups: ``group`` numbers, filter of the group, block of the row, unit vectors, filters, copies."""
 
@@ -95,26 +83,29 @@ class _Links:
         self.block = rows.column("_block").to_numpy()
         self.two = rows.column("_p").to_numpy() != rows.column("_q").to_numpy()
         self.filter = rows.column("_filter").to_numpy()
-        x = np.array(rows.column("_v").to_pylist(), dtype=np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
+        x = rows.column("_v").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
         self.x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        lists = rows.column("_filters").to_pylist()
-        self.left, self.right = _padded(lists, -1), _padded(lists, -2)
+        filters = rows.column("_filters").combine_chunks()
+        self.ends_of = np.concatenate([[0], np.cumsum(filters.value_lengths().to_numpy())])
+        self.filters = filters.flatten().to_numpy()
         self.threshold = threshold
         self.links = np.zeros(len(self.node), dtype=np.int64)
         self.ends: list[tuple[np.ndarray, np.ndarray]] = []
 
     def take(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Count the pairs whose first common filter is this group's, so that each is counted in one group only."""
+        """Count pairs for both of their rows."""
         keep = ~self.two[i] | (self.block[i] != self.block[j])
         i, j = i[keep], j[keep]
-        for s in range(0, len(i), _PAIRS):
-            a, b = i[s : s + _PAIRS], j[s : s + _PAIRS]
-            first = _first_common(self.left[a], self.right[b]) == self.filter[a]
-            a, b = a[first], b[first]
-            np.add.at(self.links, a, self.copies[b])
-            np.add.at(self.links, b, self.copies[a])
-            self.ends.append((a, b))
+        np.add.at(self.links, i, self.copies[j])
+        np.add.at(self.links, j, self.copies[i])
+        self.ends.append((i, j))
+
+    def _lists(self, rows: np.ndarray, width: int, fill: int) -> np.ndarray:
+        """The filters of some rows, one row each, filled up to ``width``."""
+        at = self.ends_of[rows][:, None] + np.arange(width)
+        inside = at < self.ends_of[rows + 1][:, None]
+        return np.where(inside, self.filters[np.minimum(at, len(self.filters) - 1)], fill)
 
     def small(self, rows: np.ndarray, group: np.ndarray) -> None:
         """Groups of a few rows each, all at once: pairs at distance 1, 2, ... in the order of groups."""
@@ -124,10 +115,35 @@ class _Links:
                 return
             a, b = rows[i], rows[i + d]
             near = np.einsum("nd,nd->n", self.x[a], self.x[b]) >= self.threshold
-            self.take(a[near], b[near])
+            a, b = a[near], b[near]
+            for s in range(0, len(a), _PAIRS):
+                self._take_first(a[s : s + _PAIRS], b[s : s + _PAIRS])
+
+    def _take_first(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Of these pairs those whose smallest common filter is the one of their group."""
+        width = int(np.diff(self.ends_of).max())
+        left, right = self._lists(a, width, -1), self._lists(b, width, -2)
+        lower = left < self.filter[a][:, None]
+        again = np.zeros(len(a), dtype=bool)
+        for k in range(width):
+            again |= lower[:, k] & (left[:, k : k + 1] == right).any(axis=1)
+        self.take(a[~again], b[~again])
 
     def large(self, rows: np.ndarray) -> None:
+        """A group of many rows: products of matrices, of the vectors and of the marks of smaller filters."""
         near = np.triu(self.x[rows] @ self.x[rows].T >= self.threshold, 1)
+        size = self.ends_of[rows + 1] - self.ends_of[rows]
+        at = np.repeat(self.ends_of[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        lower = self.filters[at] < self.filter[rows[0]]
+        owner, marks = np.repeat(np.arange(len(rows)), size)[lower], self.filters[at][lower]
+        _, number, count = np.unique(marks, return_inverse=True, return_counts=True)
+        shared = count[number] > 1
+        owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
+        for start in range(0, int(number.max()) + 1 if len(number) else 0, _COLUMNS):
+            part = (number >= start) & (number < start + _COLUMNS)
+            table = np.zeros((len(rows), _COLUMNS), np.float32)
+            table[owner[part], number[part] - start] = 1
+            near &= table @ table.T == 0
         i, j = np.nonzero(near)
         self.take(rows[i], rows[j])
 
