@@ -11,11 +11,16 @@ from reckoner.session import apply_runtime_conf, ship_package
 
 __all__ = ["document_key", "pick", "prepared", "shielded", "small", "stage", "table", "unshielded", "with_fields"]
 
+# Texts may be long, so a batch that goes to a Python worker is kept small, in rows and in bytes.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
 # Rows of a table that is sent to every task at once. Larger tables take the join that shuffles.
 SMALL_ROWS = 50_000
 
 
 def prepared(spark: SparkSession) -> SparkSession:
+    for key, value in BATCH_CONF.items():
+        spark.conf.set(key, value)
     return ship_package(apply_runtime_conf(spark))
 
 

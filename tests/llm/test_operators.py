@@ -236,7 +236,7 @@ def test_vectors_against_brute_force(spark):
     rows = [(i, v.tolist(), y) for i, (v, y) in enumerate(zip(vectors, labels))]
     rows += [(900, None, 1), (901, [0.0] * 24, 1), (902, base[0].tolist(), None), (903, [float("nan")] * 24, 1), (904, [], 0), (905, [1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: r for r in cap_filters.near_vectors(df, block_rows=16, cap=2.6).collect()}
+    got = {r["vec_id"]: r for r in cap_filters.near_vectors(df, block_rows=16, codes=4, codewords=64, cap=2.6).collect()}
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     links = (unit @ unit.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels))
     np.fill_diagonal(links, False)
