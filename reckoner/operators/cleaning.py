@@ -16,8 +16,18 @@ def retail_row_is_valid() -> Column:
     )
 
 
+# Text forms of invoice dates beside ISO: month first, as in the public retail file.
+DATE_FORMATS = ("M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy")
+
+
+def parsed_date(column: str) -> Column:
+    """A timestamp from a timestamp, a date or text in ISO form or one of ``DATE_FORMATS``; other text becomes null."""
+    text = F.col(column).cast("string")
+    return F.coalesce(F.col(column).try_cast("timestamp"), *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+
+
 def clean_retail(raw: DataFrame) -> DataFrame:
-    return raw.where(retail_row_is_valid()).withColumn("InvoiceDate", F.col("InvoiceDate").cast("timestamp"))
+    return raw.where(retail_row_is_valid()).withColumn("InvoiceDate", parsed_date("InvoiceDate"))
 
 
 def share_kept(raw: DataFrame, condition: Column) -> DataFrame:

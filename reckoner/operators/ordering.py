@@ -38,6 +38,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def at_least_partitions(df: DataFrame, n: int) -> DataFrame:
+    """Spread an input of few partitions over ``n``; one that has as many keeps its own and is not shuffled."""
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write the table to the shared folder and read it back.
 

@@ -102,9 +102,9 @@ def activity_histogram(interactions: DataFrame, clip: int = 40) -> DataFrame:
 
 
 def history_listing(split: DataFrame, catalog: DataFrame, users: DataFrame | None = None, width: int = 80) -> DataFrame:
-    """Split label, date and shortened title of every row of the given users (all by default)."""
+    """Split label, date and shortened title of every row of the given users (all by default); null without a title."""
     rows = split if users is None else split.join(users.select("user_id"), "user_id", "left_semi")
-    return rows.join(catalog.select("item_id", "description"), "item_id").select(
+    return rows.join(catalog.select("item_id", "description"), "item_id", "left").select(
         "user_id",
         "item_id",
         "split",

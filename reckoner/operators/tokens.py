@@ -83,12 +83,13 @@ def user_bucket_token(user: Column, vocabulary: Vocabulary) -> Column:
 def token_streams(history: DataFrame, tokens: DataFrame, vocabulary: Vocabulary, max_items: int | None = None, pad: bool = True) -> DataFrame:
     """``(user_id, tokens, length)``: the newest items' digits in time order, user token first, right-padded.
 
-    At most ``max_items`` rows per user enter the list; the limit runs before the shuffle.
+    At most ``max_items`` rows per user enter the list, counted among the items that have tokens; the limit runs before
+    the shuffle by user.
     """
     n = vocabulary.max_items if max_items is None else max_items
-    last = newest(history.select("user_id", *SEQ_ORDER), "user_id", SEQ_ORDER, n)
     digits = F.array(*[F.col(f"tok{i + 1}") for i in range(vocabulary.digits)])
-    joined = last.join(tokens, "item_id").select("user_id", (-F.col("age")).alias("o"), digits.alias("digits"))
+    known = history.select("user_id", *SEQ_ORDER).join(tokens.select("item_id", digits.alias("digits")), "item_id")
+    joined = newest(known, "user_id", SEQ_ORDER, n).select("user_id", (-F.col("age")).alias("o"), "digits")
     rows = F.array_sort(F.collect_list(F.struct("o", "digits")))
     streams = joined.groupBy("user_id").agg(F.flatten(F.transform(rows, lambda r: r["digits"])).alias("tokens"))
     if vocabulary.user_buckets:

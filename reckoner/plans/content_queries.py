@@ -11,7 +11,7 @@ from reckoner.functions.text import ENGLISH_STOP_WORDS, WORD_PATTERN
 from reckoner.functions.vectors import as_doubles
 from reckoner.operators import embeddings as emb, semantic_ids as sid, tokens as tok
 from reckoner.operators.dotscore import cosine_topk
-from reckoner.operators.ordering import scratch_path
+from reckoner.operators.ordering import durable, scratch_path
 from reckoner.operators.popularity import popularity
 from reckoner.plans.registry import presented, query
 from reckoner.plans.sequence_queries import train_of
@@ -19,6 +19,8 @@ from reckoner.sources import writers
 from reckoner.sources.fixtures import Fixtures
 
 LEVELS = 3
+SVD_DIMS = 128
+CODES = 256
 
 STOPS_SQL = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
 TFIDF_SQL = f"""WITH tokens AS (
@@ -43,7 +45,7 @@ def emb_01(fx: Fixtures) -> DataFrame:
 
 @query("emb_02_truncated_svd")
 def emb_02(fx: Fixtures) -> DataFrame:
-    projected, explained = emb.truncated_svd(weights_of(fx), "doc_id", 16)
+    projected, explained = emb.truncated_svd(durable(weights_of(fx)), "doc_id", SVD_DIMS, fx.table("documents"))
     return presented(projected.withColumn("explained", F.lit(explained)))
 
 
@@ -162,7 +164,15 @@ def tokens_of(fx: Fixtures) -> tuple[DataFrame, tok.Vocabulary]:
 @query("sid_01_fit_codebooks")
 def sid_01(fx: Fixtures) -> DataFrame:
     scaled, _ = emb.standardise(fx.item_embeddings())
-    return presented(sid.fit_residual_codebooks(scaled, levels=3, k=16, iters=15))
+    return presented(sid.fit_residual_codebooks(scaled, levels=LEVELS, k=CODES, iters=15))
+
+
+def fitted_tokens_of(fx: Fixtures) -> DataFrame:
+    """Item tokens of the whole chain: standardised vectors, fitted codebooks, codes, dedup digit, tokens."""
+    scaled = durable(emb.standardise(fx.item_embeddings())[0])
+    books = durable(sid.fit_residual_codebooks(scaled, levels=LEVELS, k=CODES, iters=15))
+    ids = durable(sid.add_dedup_digit(sid.semantic_ids(sid.quantise(scaled, books), LEVELS)))
+    return durable(tok.item_tokens(ids, tok.vocabulary_for(ids, user_buckets=2000)))
 
 
 SID_02_SQL = """SELECT item_id, concat_ws(' ', c1, c2, c3) AS codes,

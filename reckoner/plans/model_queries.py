@@ -17,15 +17,12 @@ from reckoner.plans.retrieval_queries import popularity_recs, targets_of
 from reckoner.plans.sequence_queries import split_of, train_in, train_of
 from reckoner.sources.fixtures import Fixtures
 
-# Small ALS settings keep the registered queries quick; the library defaults are the full ones.
-ALS_OPTIONS = {"factors": 16, "iterations": 5}
-
 
 @lru_cache(maxsize=4)
 def _fitted(application: str, folder: str):
     from pyspark.sql import SparkSession
 
-    return factors.fit_als(train_of(Fixtures(SparkSession.active(), folder)), **ALS_OPTIONS)
+    return factors.fit_als(train_of(Fixtures(SparkSession.active(), folder)))
 
 
 def als_of(fx: Fixtures):

@@ -21,10 +21,11 @@ from reckoner.operators import (
     sequences,
     splitting,
     token_model as tm,
+    transitions as tr,
 )
 from reckoner.operators.ordering import durable, scratch_path
-from reckoner.plans.content_queries import tokens_of
-from reckoner.plans.model_queries import ALS_OPTIONS, als_of, model_of
+from reckoner.plans.content_queries import LEVELS, fitted_tokens_of
+from reckoner.plans.model_queries import als_of
 from reckoner.plans.registry import presented, query
 from reckoner.plans.retrieval_queries import targets_of
 from reckoner.plans.sequence_queries import split_of, targets_in, train_in, train_of
@@ -50,6 +51,26 @@ def features_of(fx: Fixtures) -> DataFrame:
     return feat.candidate_features(durable(candidates_of(fx, split)), train_in(split), fx.catalog(), fx.item_embeddings())
 
 
+def als_features_of(fx: Fixtures) -> DataFrame:
+    """Features of the ALS top 100 of the validation users, with ALS scores: what the rerankers are fitted on and serve."""
+    split = durable(split_of(fx))
+    train = durable(train_in(split))
+    users = targets_in(split).where(F.col("split") == "val").select("user_id").distinct()
+    recs = durable(factors.als_topk(als_of(fx), users, pop.seen_pairs(train), 100))
+    return feat.candidate_features(recs, train, fx.catalog(), fx.item_embeddings())
+
+
+@lru_cache(maxsize=4)
+def _als_features(application: str, folder: str) -> DataFrame:
+    from pyspark.sql import SparkSession
+
+    return durable(als_features_of(Fixtures(SparkSession.active(), folder)))
+
+
+def ranked_candidates_of(fx: Fixtures) -> DataFrame:
+    return _als_features(fx.spark.sparkContext.applicationId, fx.folder)
+
+
 def labelled_of(fx: Fixtures) -> DataFrame:
     return lab.label_candidates(features_of(fx), val_targets(fx))
 
@@ -156,11 +177,11 @@ def rnk_11(fx: Fixtures) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def _training_table(application: str, folder: str) -> DataFrame:
-    """Labelled candidates of the sampled users that have a retrieved positive, written once per session."""
+    """Labelled ALS candidates of the sampled users that have a retrieved positive, written once per session."""
     from pyspark.sql import SparkSession
 
     fx = Fixtures(SparkSession.active(), folder)
-    rows = labelled_of(fx).join(ranker_users(fx), "user_id", "left_semi")
+    rows = lab.label_candidates(ranked_candidates_of(fx), val_targets(fx)).join(ranker_users(fx), "user_id", "left_semi")
     return durable(lab.keep_users_with_positive(rows, val_targets(fx)))
 
 
@@ -172,29 +193,26 @@ def training_of(fx: Fixtures) -> DataFrame:
 def _ranker(application: str, folder: str):
     from pyspark.sql import SparkSession
 
-    return rr.fit_gbt_ranker(training_of(Fixtures(SparkSession.active(), folder)), trees=10)
+    return rr.fit_gbt_ranker(training_of(Fixtures(SparkSession.active(), folder)))
 
 
 def ranker_of(fx: Fixtures):
     return _ranker(fx.spark.sparkContext.applicationId, fx.folder)
 
 
-MARGIN_MEANS = ", ".join(f"avg(CASE WHEN label = 0 THEN {c} END) AS m_{c}" for c in feat.FEATURES)
 SCALES = ", ".join(f"CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s_{c}" for c in feat.FEATURES)
-
-
-def _margin_side(sign: str, label: int) -> str:
-    parts = ", ".join(f"round({sign}(l.{c} - m.m_{c}) / s.s_{c}, 6) + 0.0 AS {c}" for c in feat.FEATURES)
-    return f"""SELECT l.user_id, l.item_id, {parts}, {label}::BIGINT AS label,
-        round(abs(1.0 / log2(l.rank + 1) - m.gain) / list_sum(list_transform(range(1, m.n_pos + 1), lambda i: 1.0::DOUBLE / log2(i + 1))), 6) AS weight
-        FROM z_labelled l JOIN means m USING (user_id) CROSS JOIN scales s WHERE l.label = 1"""
+MARGINS = ", ".join(f"round(sign * (p.{c} - n.{c}) / s.s_{c}, 6) + 0.0 AS {c}" for c in feat.FEATURES)
 
 
 @query(
     "rnk_12_margin_examples",
-    f"""WITH means AS (SELECT user_id, CAST(sum(label) AS BIGINT) AS n_pos, avg(CASE WHEN label = 0 THEN 1.0::DOUBLE / log2(rank + 1) END) AS gain, {MARGIN_MEANS}
-         FROM z_labelled GROUP BY user_id HAVING sum(1 - label) > 0), scales AS (SELECT {SCALES} FROM z_labelled)
-       {_margin_side('', 1)} UNION ALL {_margin_side('-', 0)}""",
+    f"""WITH scales AS (SELECT {SCALES} FROM z_labelled),
+         ideal AS (SELECT user_id, list_sum(list_transform(range(1, CAST(sum(label) AS BIGINT) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))) AS g
+                   FROM z_labelled GROUP BY user_id)
+       SELECT p.user_id, p.item_id, n.item_id AS other_id, {MARGINS}, CASE WHEN sign > 0 THEN 1 ELSE 0 END::BIGINT AS label,
+              round(abs(1.0 / log2(p.rank + 1) - 1.0 / log2(n.rank + 1)) / i.g, 6) AS weight
+       FROM z_labelled p JOIN z_labelled n ON n.user_id = p.user_id AND n.label = 0 JOIN ideal i ON i.user_id = p.user_id
+       CROSS JOIN scales s CROSS JOIN (VALUES (1.0::DOUBLE), (-1.0::DOUBLE)) v(sign) WHERE p.label = 1""",
 )
 def rnk_12_examples(fx: Fixtures) -> DataFrame:
     df = presented(rr.margin_examples(durable(labelled_of(fx))))
@@ -203,13 +221,13 @@ def rnk_12_examples(fx: Fixtures) -> DataFrame:
 
 @query("rnk_12_gbt_scores")
 def rnk_12(fx: Fixtures) -> DataFrame:
-    return presented(rr.scored(training_of(fx), ranker_of(fx)))
+    return presented(rr.scored(ranked_candidates_of(fx), ranker_of(fx)))
 
 
 @query("rnk_12_linear_scores")
 def rnk_12_linear(fx: Fixtures) -> DataFrame:
     train = training_of(fx)
-    return presented(rr.scored(train, rr.fit_linear_ranker(train), rr.feature_scales(train)))
+    return presented(rr.scored(ranked_candidates_of(fx), rr.fit_linear_ranker(train), rr.feature_scales(train)))
 
 
 @query("rnk_13_importances")
@@ -219,7 +237,7 @@ def rnk_13(fx: Fixtures) -> DataFrame:
 
 @query("rnk_14_rerank")
 def rnk_14(fx: Fixtures) -> DataFrame:
-    held_out = evaluation.without_training_users(features_of(fx), training_of(fx))
+    held_out = evaluation.without_training_users(ranked_candidates_of(fx), ranker_users(fx))
     return presented(rr.rerank(held_out, ranker_of(fx)))
 
 
@@ -233,44 +251,49 @@ def rnk_15(fx: Fixtures) -> DataFrame:
 
 @query("rnk_16_response_sweep")
 def rnk_16(fx: Fixtures) -> DataFrame:
-    return presented(rr.response_sweep(training_of(fx), ranker_of(fx), "item_recency_norm", [0.0, 0.25, 0.5, 0.75, 1.0]))
+    return presented(rr.response_sweep(ranked_candidates_of(fx), ranker_of(fx), "item_recency_norm", [0.0, 0.25, 0.5, 0.75, 1.0]))
+
+
+# A fixed linear ranker, so that movement by a ranker's score can be checked in SQL.
+FIXED_WEIGHTS = {"content_sim": 2.0, "item_popularity_log": -0.5, "item_recency_norm": 1.0, "item_price_imputed": 0.25}
+FIXED_SCORE = " + ".join(f"{w}::DOUBLE * {c}" for c, w in FIXED_WEIGHTS.items())
 
 
 @query(
     "rnk_17_rank_movement",
-    """SELECT a.user_id, a.item_id, c.rank AS rank_before, a.rank AS rank_after FROM (
-         SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(content_sim, 6) DESC, item_id) AS rank FROM z_features) a
+    f"""SELECT a.user_id, a.item_id, c.rank AS rank_before, a.rank AS rank_after FROM (
+         SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round({FIXED_SCORE}, 6) DESC, item_id) AS rank FROM z_features) a
        JOIN z_val_cands c ON c.user_id = a.user_id AND c.item_id = a.item_id
        JOIN z_val_targets t ON t.user_id = a.user_id AND t.item_id = a.item_id WHERE a.rank <= 10 AND c.rank >= 20""",
 )
 def rnk_17(fx: Fixtures) -> DataFrame:
-    profiles = sequences.user_profiles(train_of(fx), fx.item_embeddings())
-    before = candidates_of(fx)
-    sims = feat.content_similarity(before, profiles, fx.item_embeddings())
-    after = compose.ranked(sims.select("user_id", "item_id", F.round("content_sim", 6).alias("score")))
-    return presented(lab.rank_movement(before, after, val_targets(fx)))
+    rows = durable(features_of(fx))
+    after = compose.ranked(rr.linear_scores(rows, FIXED_WEIGHTS))
+    return presented(lab.rank_movement(candidates_of(fx), after, val_targets(fx)))
 
 
-@query("snk_05_ranker_artefacts")
+@query("snk_05_ranker_artefacts", RANKER_USERS_SQL)
 def snk_05(fx: Fixtures) -> DataFrame:
     path = scratch_path(fx.spark, "ranker")
-    writers.save_ranker(ranker_of(fx), training_of(fx), path)
+    writers.save_ranker(ranker_of(fx), ranker_users(fx), path)
     return fx.spark.read.parquet(f"{path}/training_users")
 
 
 def tier_lists(fx: Fixtures, train: DataFrame, users: DataFrame, context: DataFrame, k: int, als=None) -> dict[str, DataFrame]:
-    """The four retrieval tiers on one context: popularity, ALS, dot-product scorer, semantic-id beam search."""
+    """The retrieval tiers on one context: popularity, ALS, dot-product scorer, transitions, semantic-id beam search."""
     seen = pop.seen_pairs(context)
     popular = durable(pop.popularity(train))
     vectors = fx.item_embeddings().withColumnRenamed("embedding", "vector")
-    tokens = durable(tokens_of(fx)[0])
-    model = tm.fit_token_model(train, tokens, 4)
+    tokens = fitted_tokens_of(fx)
+    model = tm.fit_token_model(train, tokens, LEVELS + 1)
+    popular_lists = durable(pop.popularity_topk(popular, users, seen, k))
     wanted = context.join(users, "user_id", "left_semi")
-    als = als or factors.fit_als(train, **ALS_OPTIONS)
+    als = als or factors.fit_als(train)
     return {
-        "popularity": pop.popularity_topk(popular, users, seen, k),
+        "popularity": popular_lists,
         "als": factors.als_topk(als, users, seen, k),
         "history_dot": dotscore.score_dot_topk(dotscore.history_state(wanted, vectors), vectors, seen, k),
+        "transitions": tr.transition_topk(wanted, tr.fit_transitions(train), seen, popular_lists, k),
         "semantic_beam": tm.beam_topk(tm.user_contexts(wanted, tokens), model, seen, k, k),
     }
 
@@ -293,7 +316,9 @@ def met_09(fx: Fixtures) -> DataFrame:
     train, targets = durable(train_of(fx)), durable(targets_of(fx))
     parts = []
     for split in ("val", "test"):
-        part = evaluation.without_training_users(targets.where(F.col("split") == split), training_of(fx))
+        part = targets.where(F.col("split") == split)
+        if split == "val":  # the reranker saw labels of this split only
+            part = evaluation.without_training_users(part, ranker_users(fx))
         sample = durable(evaluation.sample_users(part, 2000, 42))
         wanted = durable(evaluation.restrict(part, sample).select("user_id", "item_id"))
         tiers = tier_lists(fx, train, sample, train, 100, als_of(fx))
@@ -308,7 +333,7 @@ def met_09(fx: Fixtures) -> DataFrame:
 def met_10(fx: Fixtures) -> DataFrame:
     loo = durable(splitting.loo_split(fx.interactions()))
     train = loo.where(F.col("split") == "train")
-    als = factors.fit_als(train, **ALS_OPTIONS)
+    als = factors.fit_als(train)
     parts = []
     for split in ("val", "test"):
         wanted = loo.where(F.col("split") == split).select("user_id", "item_id")
@@ -322,8 +347,8 @@ def met_10(fx: Fixtures) -> DataFrame:
 
 @query("met_11_same_candidates")
 def met_11(fx: Fixtures) -> DataFrame:
-    held_out = evaluation.without_training_users(val_targets(fx), training_of(fx))
-    rows = durable(features_of(fx).join(held_out.select("user_id").distinct(), "user_id", "left_semi"))
+    held_out = evaluation.without_training_users(val_targets(fx), ranker_users(fx))
+    rows = durable(ranked_candidates_of(fx).join(held_out.select("user_id").distinct(), "user_id", "left_semi"))
     before = rows.select("user_id", "item_id", F.col("als_score").alias("score"), "rank")
     return presented(evaluation.run_tiers({"retrieval": before, "reranked": rr.rerank(rows, ranker_of(fx))}, held_out, "val", None, (10, 20, 100)))
 
@@ -333,7 +358,8 @@ def dia_02_control(fx: Fixtures) -> DataFrame:
     """Beam search on the users' own contexts and on another user's: the control must not do better."""
     train = durable(train_of(fx))
     targets, contexts = dia.pseudo_loo(train)
-    model, tokens = model_of(fx, train)
+    tokens = fitted_tokens_of(fx)
+    model = tm.fit_token_model(train, tokens, LEVELS + 1)
     nobody = targets.where(F.lit(False))
     parts = []
     for name, ctx in (("own", contexts), ("shuffled", dia.shuffled_contexts(durable(contexts)))):

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reckoner.functions.scalars import flat_text
+from reckoner.operators.ordering import at_least_partitions
 from reckoner.schemas import RAW_META, RAW_RATINGS, RETAIL_COLUMNS
 
 
 def read_ratings(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Gzip CSV with a header. A gzip file is one task, so the rows are spread right after reading."""
     df = spark.read.schema(RAW_RATINGS).option("header", True).csv(path)
-    return df.repartition(partitions) if partitions else df
+    return at_least_partitions(df, partitions) if partitions else df
 
 
 def read_metadata(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
