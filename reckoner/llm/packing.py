@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -23,9 +24,9 @@ WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16 * WINDOW
 # Tokens that one task holds while it packs them. Every shard is packed by itself.
-SHARD_TOKENS = 4_000_000
-_MEMO_WORDS = 1_000_000
-_CHUNK_CHARS = 2_000_000
+SHARD_TOKENS = 2_000_000
+_MEMO_WORDS = 300_000
+_CHUNK_CHARS = 1_000_000
 _LONG_WORD = 64
 _SPACE = re.compile("[\t\n\r\xa0 ]")
 
@@ -58,6 +59,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core; more threads only take memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
