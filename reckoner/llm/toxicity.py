@@ -27,7 +27,7 @@ _HIDDEN, _WORD_DIM, _CHAR_DIM = 8, 8, 16
 _WORD_ROWS, _CHAR_ROWS = 1 << 14, 1 << 16
 _GRAMS = (3, 5)
 _CODES, _PLACES = 0x2100, 64
-_CHUNK_CHARS, _CHUNK_WINDOWS, _MEMO_WORDS = 1_500_000, 1_024, 300_000
+_CHUNK_CHARS, _CHUNK_WINDOWS, _MEMO_WORDS = 1_000_000, 1_024, 150_000
 _OVERLAP_CHARS = 400
 _SPACE = re.compile(r"\s")
 
