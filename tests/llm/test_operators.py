@@ -317,6 +317,34 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
             assert passage == texts[r["other_doc_id"]][r["other_start"] : r["other_end"]] == exact
 
 
+def test_passages_put_together_from_common_parts_are_found(spark):
+    """Only two documents hold both parts together; each part alone is common and too short to count."""
+    rng = random.Random(12)
+    rows, joint = [], set()
+    for n in range(12):
+        parts = [prose(rng, 26), prose(rng, 26)]
+        for k in range(24):
+            rows.append((100 * n + k, f"{prose(rng, 20)} {parts[k % 2]} {prose(rng, 20)}", "a"))
+        for k in (50, 51):
+            rows.append((100 * n + k, f"{prose(rng, 20)} {' '.join(parts)} {prose(rng, 20)}", "a"))
+            joint.add(100 * n + k)
+    texts = {i: t for i, t, _ in rows}
+    got = substring_dedup.shared_passages(documents(spark, rows)).collect()
+    assert {x for r in got for x in (r["doc_id"], r["other_doc_id"])} == joint
+    for r in got:
+        assert r["words"] == r["same_words"] == 52 and r["doc_id"] // 100 == r["other_doc_id"] // 100
+        assert len(texts[r["doc_id"]][r["start"] : r["end"]].split()) == 52
+
+
+def test_runs_of_windows_across_batches():
+    def batch(*places):
+        rows = [(9, 1, 40, ((40 + p) << 32) | 7 * p, (p << 32) | 3 * p, 343, 147) for p in places]
+        return substring_dedup.pa.RecordBatch.from_arrays([substring_dedup.pa.array(c) for c in zip(*rows)], list("abcdefg"))
+
+    got = [r for b in substring_dedup._run_rows([batch(0, 1), batch(2, 3), batch(4, 9), batch(10)]) for r in b.to_pylist()]
+    assert [(r["_a0"], r["_a1"], r["_b0"], r["_b1"]) for r in got] == [(0, 371, 0, 159), (63, 413, 27, 177)]
+
+
 def test_chains_prefer_the_diagonal():
     a = np.array([0, 10, 20, 30, 40, 12, 22])
     b = np.array([5, 15, 25, 35, 45, 400, 2])
