@@ -336,6 +336,37 @@ def test_passages_put_together_from_common_parts_are_found(spark):
         assert len(texts[r["doc_id"]][r["start"] : r["end"]].split()) == 52
 
 
+def test_every_place_of_a_shared_passage_is_found(spark):
+    rng = random.Random(13)
+    passage, edited = prose(rng, 60), prose(rng, 120).split()
+    scattered = " ".join(f"{' '.join(passage.split()[k : k + 14])} {prose(rng, 9)}" for k in range(0, 48, 7))
+    variants = [" ".join(w if k % 31 != n else prose(rng, 1) for k, w in enumerate(edited)) for n in (8, 24)]
+    texts = {
+        1: f"{scattered} {prose(rng, 400)} {passage} {prose(rng, 400)} {passage} {prose(rng, 50)}",
+        2: f"{prose(rng, 30)} {scattered} {prose(rng, 500)} {passage} {prose(rng, 20)}",
+        3: f"{variants[0]} {prose(rng, 500)} {variants[0]} {prose(rng, 30)}",
+        4: f"{prose(rng, 40)} {variants[1]}",
+    }
+    got = substring_dedup.shared_passages(documents(spark, [(i, t, "a") for i, t in texts.items()])).collect()
+    spans = {i: set() for i in texts}
+    for r in got:
+        spans[r["doc_id"]].add((r["start"], r["end"]))
+        spans[r["other_doc_id"]].add((r["other_start"], r["other_end"]))
+    for i, t in list(texts.items())[:2]:
+        assert {(m.start(), m.end()) for m in re.finditer(passage, t)} <= spans[i]
+    for m in re.finditer(variants[0], texts[3]):
+        assert any(a < (m.start() + m.end()) // 2 < b for a, b in spans[3])
+
+
+def test_seeds_of_a_repeat_stand_at_both_places():
+    rng = np.random.default_rng(14)
+    part, rest = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (60, 90))
+    seeds, places = substring_dedup.seeds_of(np.concatenate([part, rest, part]))
+    first = {s for s, at in zip(seeds.tolist(), places.tolist()) if 12 <= at < 42}
+    again = {s for s, at in zip(seeds.tolist(), places.tolist()) if 162 <= at < 192}
+    assert len(first & again) >= 3
+
+
 def test_runs_of_windows_across_batches():
     def batch(*places):
         rows = [(9, 1, 40, ((40 + p) << 32) | 7 * p, (p << 32) | 3 * p, 343, 147) for p in places]
