@@ -16,7 +16,7 @@ from reckoner.llm.components import components
 THRESHOLD = 0.93
 CODES = 12  # independent codes, each with its own rotation
 CODEWORDS = 128  # in each of the two parts of a code: CODEWORDS ** 2 filters
-CAP = 3.6  # a vector passes a filter whose inner product is this many standard deviations of a random one
+CAP = 3.5  # a vector passes a filter whose inner product is this many standard deviations of a random one
 BLOCK_ROWS = 512
 _SMALL_GROUP = 48
 _PAIRS = 20_000
@@ -37,25 +37,31 @@ def decode(vectors: np.ndarray, codes: int, codewords: int, cap: float) -> list[
     """For unit vectors of one length, the sorted numbers of all product filters within the cap.
 
     A filter is a pair of codewords of one code; its inner product is the mean of the two parts'. A codeword is of use only
-    when the best partner in the other part lifts it over the limit, so few pairs are looked at.
+    when the best partner in the other part lifts it over the limit, so few pairs are looked at. A vector with fewer filters
+    than there are codes also gets the nearest filter of every code, so none is left without.
     """
     dims = vectors.shape[1]
     cut = (dims + 1) // 2
     limit = cap * np.sqrt(2 / dims)
     found: list[list[np.ndarray]] = [[] for _ in vectors]
+    nearest = np.zeros((len(vectors), codes), dtype=np.int64)
     for number in range(codes):
         rotation, first, second = _code(number, dims, codewords)
         turned = vectors @ rotation
         left = turned[:, :cut] @ first.T
         right = turned[:, cut:] @ second.T if dims > cut else np.zeros((len(vectors), codewords))
         tops = left.max(axis=1), right.max(axis=1)
+        nearest[:, number] = (number * codewords + left.argmax(axis=1)) * codewords + right.argmax(axis=1)
         for row in np.flatnonzero(tops[0] + tops[1] >= limit).tolist():
             a, b = left[row], right[row]
             i = np.flatnonzero(a >= limit - tops[1][row])
             j = np.flatnonzero(b >= limit - tops[0][row])
             rows, columns = np.nonzero(a[i][:, None] + b[j] >= limit)
             found[row].append((number * codewords + i[rows]) * codewords + j[columns])
-    return [np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64) for parts in found]
+    for row, parts in enumerate(found):
+        if sum(map(len, parts)) < codes:
+            parts.append(nearest[row])
+    return [np.unique(np.concatenate(parts)) for parts in found]
 
 
 def _add_filters(batches: Iterator[pa.RecordBatch], at: int, codes: int, codewords: int, cap: float) -> Iterator[pa.RecordBatch]:

@@ -251,6 +251,27 @@ def test_vectors_against_brute_force(spark):
     assert cap_filters.near_vectors(df.where("false")).count() == 0
 
 
+def near_pairs(dims, n=300, cosine=0.93):
+    rng = np.random.default_rng(21)
+    a, b = (rng.standard_normal((n, dims)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+def found_share(a, b):
+    lists = [cap_filters.decode(x, cap_filters.CODES, cap_filters.CODEWORDS, cap_filters.CAP) for x in (a, b)]
+    return np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(*lists)]), lists[0]
+
+
+def test_default_filters_leave_no_vector_out():
+    a, b = near_pairs(64, 1500)
+    share, lists = found_share(a, b)
+    assert share >= 0.985
+    assert min(map(len, lists)) >= cap_filters.CODES
+
+
 # --- n-grams
 
 
