@@ -42,7 +42,7 @@ CONTEXT = {
     "phone": "tel|phone|call|fax|mobile|cell",
 }
 _MAIL_SIGNS = ("@", "(at)", "(AT)", "[at]", "[AT]")
-FIT_CANDIDATES = 20_000  # candidates that the trees are fitted and calibrated on, at most
+FIT_CANDIDATES = 20_000  # different candidates of each kind that the trees are fitted on, at most
 LEAST_FIT = 60
 PRECISION = 0.95
 _TREES, _DEPTH = 12, 4
@@ -192,23 +192,25 @@ def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
 def fit_trees(spans: DataFrame) -> tuple[GBTClassificationModel, dict[int, float]] | None:
     """Boosted trees over candidates and a margin threshold for each kind.
 
-    A candidate that equals a validated span of its kind is an example of personal data, any other is not. Four fifths of
-    at most ``FIT_CANDIDATES`` candidates, in the order of a hash of their features and place, are fitted. On the fifth
-    part a kind's threshold is the lowest margin from which on at least ``PRECISION`` of the candidates validate, so a
-    candidate above it looks like those that do. A kind without such a margin adds nothing. None without both classes.
+    A candidate that equals a validated span of its kind is an example of personal data, any other is not. At most
+    ``FIT_CANDIDATES`` of each kind, in the order of a hash of their features, are fitted; equal ones count once. A kind's
+    threshold is the lowest margin from which on at least ``PRECISION`` of all its candidates validate, so a candidate above
+    it looks like those that do. A kind without such a margin adds nothing. None without both classes.
     """
     rows = spans.select("_base", F.explode("_candidates").alias("c"))
     label = F.exists("_base", lambda b: (b.k == F.col("c.k")) & (b.start == F.col("c.start")) & (b.end == F.col("c.end")))
-    rows = rows.select(F.col("c.k").alias("k"), F.col("c.x").alias("x"), label.cast("double").alias("label"), F.xxhash64("c").alias("h"))
-    rows = stage(rows.orderBy("h", "k", "label").limit(FIT_CANDIDATES)).withColumn("features", array_to_vector("x"))
-    counts = rows.groupBy("label").count().collect()
-    if len(counts) < 2 or sum(r["count"] for r in counts) < LEAST_FIT:
+    rows = rows.select(F.col("c.k").alias("k"), F.col("c.x").alias("x"), label.cast("double").alias("label"))
+    rows = stage(rows.groupBy("k", "x", "label").agg(F.count("*").alias("n")))
+    order = [F.xxhash64("x"), "label"]
+    sample = stage(reduce(DataFrame.unionByName, [rows.where(F.col("k") == k).orderBy(*order).limit(FIT_CANDIDATES) for k in range(len(KINDS))]))
+    counts = sample.groupBy("label").agg(F.sum("n").alias("n")).collect()
+    if len(counts) < 2 or sum(r["n"] for r in counts) < LEAST_FIT:
         return None
-    aside = F.pmod(F.col("h"), F.lit(5)) == 0
     trees = GBTClassifier(maxIter=_TREES, maxDepth=_DEPTH, stepSize=0.3, seed=7, maxMemoryInMB=64, checkpointInterval=-1)
-    model = trees.fit(rows.where(~aside).select("features", "label"))
-    scored = rows.where(aside).select("k", "label", F.round(margin(model, F.col("x")), 3).alias("m"))
-    steps = scored.groupBy("k", "m").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy("k", F.desc("m")).collect()
+    model = trees.fit(sample.select(array_to_vector("x").alias("features"), "label"))
+    scored = rows.select("k", "label", "n", F.round(margin(model, F.col("x")), 3).alias("m"))
+    good = F.sum(F.col("label") * F.col("n")).alias("good")
+    steps = scored.groupBy("k", "m").agg(good, F.sum("n").alias("n")).orderBy("k", F.desc("m")).collect()
     thresholds: dict[int, float] = {}
     for k in range(len(KINDS)):
         good = n = 0
@@ -243,8 +245,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     start and then kind, comma-joined; code points, end exclusive) and ``n_added`` for every row.
 
     Base spans are the leftmost matches of each pattern that validate. Added spans are candidates above their kind's
-    threshold that overlap no base span. Everything is a column expression over one row, so there is no shuffle but the
-    bounded sample for the fit; the text is read once for the fit and once for the result.
+    threshold that overlap no base span. Everything is a column expression over one row, so there is no shuffle but of
+    the counts of equal candidates for the fit; the text is read once for the fit and once for the result.
 
     Null and empty texts have no spans. Repeated rows and ids are rows of their own; a null id stays null. With too few
     candidates to fit, or of one class only, nothing is added.
