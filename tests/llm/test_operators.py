@@ -439,7 +439,7 @@ def test_base_spans_against_python(spark):
 def test_rare_kinds_are_fitted_and_calibrated_on_all_their_candidates(spark, monkeypatch):
     """Far more candidates of one kind than are fitted: the few of another kind still get their threshold."""
     monkeypatch.setattr(pii, "FIT_CANDIDATES", 200)
-    rng = random.Random(15)
+    rng = random.Random(16)
     rows = [(i, f"call {rng.choice(['+', '+', '00'])}{rng.randint(10**9, 10**12)} {prose(rng, 3)}") for i in range(2000)]
     rows += [(5000 + i, f"mail {prose(rng, 1)}@{prose(rng, 1)}.org {prose(rng, 2)}") for i in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
