@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.llm import line_dedup as lines
-from reckoner.llm import cap_filters, maxscore, mixing, ngram_jaccard, packing, pii, substring_dedup, toxicity
+from reckoner.llm import cap_filters, maxscore, mixing, ngram_jaccard, packing, pii, spelling, substring_dedup, toxicity
 from reckoner.llm import url_filter as urls
 from reckoner.llm.common import table
 
@@ -160,3 +160,41 @@ def op9_pii_candidates(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_hierarchical_packing")
 def op10_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(TOKENIZER))
+
+
+# The crc32 of a text's UTF-8 bytes: its 256 remainders are made by the rule, then the bytes fold over them.
+_CRC_SQL = """
+crc_table AS (SELECT list(list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+                  lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+              FROM (SELECT unnest(range(256))::BIGINT AS i)),
+"""
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+WITH RECURSIVE {_CRC_SQL}
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_AZ}), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+held AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM held),
+bytes_ AS (SELECT run, n, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS b FROM coded),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b),
+                  lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]))) AS h FROM bytes_, crc_table),
+struck AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM struck WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON w.word = c.rest
+          UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON w.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word),
+firsts AS (SELECT p.word, n_near, top, min(near) AS form FROM pairs p JOIN best USING (word) WHERE near_n = top GROUP BY ALL),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * n THEN form END AS form,
+                  CASE WHEN top >= 5 * n THEN top END AS form_n FROM words w LEFT JOIN firsts f USING (word)),
+steps(word, root, step) AS (SELECT word, word, 0 FROM formed
+                          UNION ALL SELECT s.word, f.form, step + 1 FROM steps s JOIN formed f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, r.root, n, n_near, form_n FROM formed f JOIN (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word) r USING (word)
+""",
+)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, folder, "documents"), noise=199)
+    return spelling.spelling_variants(words)
