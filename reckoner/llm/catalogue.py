@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.llm import line_dedup as lines
-from reckoner.llm import cap_filters, maxscore, mixing, ngram_jaccard, packing, pii, spelling, substring_dedup, toxicity
+from reckoner.llm import cap_filters, collocations, maxscore, mixing, ngram_jaccard, packing, pii, spelling, substring_dedup, toxicity
 from reckoner.llm import url_filter as urls
 from reckoner.llm.common import table
 
@@ -198,3 +198,39 @@ SELECT f.word, form, r.root, n, n_near, form_n FROM formed f JOIN (SELECT word,
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     words = spelling.vocabulary(table(spark, folder, "documents"), noise=199)
     return spelling.spelling_variants(words)
+
+
+def _phrase_sql() -> str:
+    words = {n: [f"lead(w, {i}) OVER p AS w{i}" for i in range(n)] for n in (1, 2, 3, 4)}
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {n} AS len, w{n - 1} IS NOT NULL AS full_, concat_ws(' ', {', '.join(f'w{i}' for i in range(n))}) AS phrase "
+        f"FROM (SELECT lang, {', '.join(words[n])} FROM placed WINDOW p AS (PARTITION BY lang, row_, piece ORDER BY pos))"
+        for n in (1, 2, 3, 4)
+    )
+    part = "array_to_string(string_split(phrase, ' ')[{}:{}], ' ')"
+    return f"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS row_, translate(coalesce(text, ''), {_AZ}) AS t FROM documents),
+pieces AS (SELECT lang, row_, unnest(p) AS t, unnest(range(len(p))) AS piece
+           FROM (SELECT lang, row_, regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]') AS p FROM docs)),
+placed AS (SELECT lang, row_, piece, unnest(w) AS w, unnest(range(len(w))) AS pos
+           FROM (SELECT lang, row_, piece, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM pieces)),
+totals AS (SELECT lang, count(*) AS n FROM placed GROUP BY lang),
+grams AS ({grams}),
+f AS (SELECT lang, len, phrase, count(*) AS a FROM grams WHERE full_ GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, len, phrase, a, unnest(range(1, len)) AS k FROM f WHERE len > 1),
+parted AS (SELECT *, {part.format("1", "k")} AS first_, {part.format("k + 1", "len")} AS rest_ FROM cuts),
+scored AS (SELECT c.*, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a // (l.a + r.a)::HUGEINT)::BIGINT AS score FROM parted c
+           JOIN f l ON l.lang = c.lang AND l.phrase = first_ AND l.len = k JOIN f r ON r.lang = c.lang AND r.phrase = rest_ AND r.len = c.len - k),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, a, {part.format("s", "s + m - 1")} AS phrase
+           FROM (SELECT *, unnest(range(1, len - m + 2)) AS s FROM (SELECT *, unnest(range(2, len)) AS m FROM f WHERE len > 2))),
+longer AS (SELECT lang, phrase, max(a) AS top FROM inner_ GROUP BY ALL),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN longer o USING (lang, phrase) WHERE top IS NULL OR 100::HUGEINT * top < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", _phrase_sql())
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
