@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.llm import line_dedup as lines
-from reckoner.llm import cap_filters, collocations, maxscore, mixing, ngram_jaccard, packing, pii, spelling, substring_dedup, toxicity
+from reckoner.llm import cap_filters, collocations, maxscore, mixing, ngram_jaccard, packing, pii, quality_rules, spelling, substring_dedup, toxicity
 from reckoner.llm import url_filter as urls
 from reckoner.llm.common import table
 
@@ -162,6 +162,14 @@ def op10_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(TOKENIZER))
 
 
+@query("op11_quality_rules")
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality_rules.score(docs, quality_rules.train(docs, table(spark, folder, "labels")))
+    predicted = (F.col("_score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", quality_rules.held_out().alias("held_out"), F.col("_score").alias("score"), predicted)
+
+
 # The crc32 of a text's UTF-8 bytes: its 256 remainders are made by the rule, then the bytes fold over them.
 _CRC_SQL = """
 crc_table AS (SELECT list(list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
