@@ -262,7 +262,7 @@ cte(
        LEFT JOIN z_observed o ON o.depth = q.depth AND o.x = c.x AND o.prefix = q.prefix AND o.token = q.token
        LEFT JOIN z_totals t ON t.depth = q.depth AND t.x = c.x AND t.prefix = q.prefix""",
 )
-BEAM = 8
+BEAM = 20
 _beam_source = "(SELECT x, CAST([] AS BIGINT[]) AS path, 0.0::DOUBLE AS logp FROM z_contexts)"
 for _depth, _name in enumerate(("z_beam_one", "z_beam_two", "z_beam_three", "z_beam_all")):
     _cut = "" if _name == "z_beam_all" else f"QUALIFY row_number() OVER (PARTITION BY x ORDER BY logp DESC, path) <= {BEAM}"
@@ -283,10 +283,10 @@ cte(
 )
 cte(
     "z_beam_recs",
-    """SELECT u.user_id, l.item_id, l.logp AS score, row_number() OVER (PARTITION BY u.user_id ORDER BY l.rank) AS rank
+    f"""SELECT u.user_id, l.item_id, l.logp AS score, row_number() OVER (PARTITION BY u.user_id ORDER BY l.rank) AS rank
        FROM z_user_x u JOIN z_beam_lists l USING (x)
        WHERE NOT EXISTS (SELECT 1 FROM z_seen s WHERE s.user_id = u.user_id AND s.item_id = l.item_id)
-       QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY l.rank) <= 8""",
+       QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY l.rank) <= {BEAM}""",
 )
 
 # Ranking features.

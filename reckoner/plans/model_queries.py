@@ -163,8 +163,8 @@ def ret_15(fx: Fixtures) -> DataFrame:
 
 @query(
     "ret_15_short_lists",
-    """SELECT user_id, n_recs FROM (SELECT user_id, count(item_id) AS n_recs FROM z_eval_users LEFT JOIN z_beam_recs USING (user_id) GROUP BY user_id)
-       WHERE n_recs < 8""",
+    f"""SELECT user_id, n_recs FROM (SELECT user_id, count(item_id) AS n_recs FROM z_eval_users LEFT JOIN z_beam_recs USING (user_id) GROUP BY user_id)
+       WHERE n_recs < {BEAM}""",
 )
 def ret_15_short(fx: Fixtures) -> DataFrame:
     train = durable(train_of(fx))

@@ -186,3 +186,25 @@ def test_beam_topk_is_not_cut_short_by_seen_items(spark, token_setup):
     seen = spark.createDataFrame([(1, r["item_id"]) for r in everything[:9]], "user_id long, item_id long")
     got = _by_user(tm.beam_topk(users, model, seen, 5, 14), "item_id")
     assert got[1] == [r["item_id"] for r in everything[9:14]]
+
+
+def test_a_heavy_user_lengthens_no_other_list(spark, token_setup):
+    """One user has seen the whole catalogue: the others' lists stay as they are without that user."""
+    rows, tokens, model, table = token_setup
+    digits = sorted({t[0] for t in table.values()})
+    users = spark.createDataFrame([(u, digits[u % len(digits)]) for u in range(6)], "user_id long, x int")
+    seen = [(u, i) for u in range(1, 6) for i in range(u)]
+    lengths = {}
+    for name, pairs in (("without", seen), ("with", seen + [(0, i) for i in table])):
+        pairs = spark.createDataFrame(pairs, "user_id long, item_id long")
+        assigned, lists = tm.user_lists(users, model, pairs, 2, 14)
+        sizes = lists.groupBy("list_id").agg(F.count("*").alias("n"))
+        lengths[name] = {r["user_id"]: r["n"] for r in assigned.join(sizes, "list_id").collect()}
+        got = _by_user(tm.beam_topk(users, model, pairs, 2, 14), "item_id")
+        everything = tm.beam_search(users, model, 14).orderBy("rank").collect()
+        hidden = {(r["user_id"], r["item_id"]) for r in pairs.collect()}
+        for u in range(6):
+            own = [r["item_id"] for r in everything if r["list_id"] == digits[u % len(digits)] and (u, r["item_id"]) not in hidden]
+            assert got.get(u, []) == own[:2]
+    assert {u: lengths["with"][u] for u in range(1, 6)} == {u: lengths["without"][u] for u in range(1, 6)}
+    assert lengths["with"][0] == 14 and max(lengths["without"].values()) < 14
