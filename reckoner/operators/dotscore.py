@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reckoner.functions.scalars import SCORE_DIGITS
 from reckoner.functions.vectors import as_doubles, unit
@@ -107,16 +108,30 @@ def _topk_group(k: int):
     return run
 
 
-def _pairs_group(left: pa.Table, right: pa.Table) -> pa.Table:
-    left_ids, left_vectors, right_ids, right_vectors, rows, cols = _sides(left, right)
-    if not len(rows):
-        return _result([], [], [])
-    step = max(1, SCORE_CELLS // left_vectors.shape[1])
-    scores = [
-        np.einsum("ij,ij->i", left_vectors[rows[i : i + step]], right_vectors[cols[i : i + step]])
-        for i in range(0, len(rows), step)
-    ]
-    return _result([left_ids[rows]], [right_ids[cols]], scores)
+def _lists_group(columns: list[str], name: str):
+    """Scores of the listed pairs of some left rows with one right chunk; pairs without a vector get null."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = left.column("_rows").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        rows, flat = np.repeat(np.arange(len(sizes)), sizes), lists.flatten()
+        right_ids, right_vectors = _matrix(right)
+        cols, known = _places(right_ids, flat.field("other").to_numpy(zero_copy_only=False))
+        present = left.column("vector").is_valid().to_numpy()
+        known &= present[rows]
+        score = np.full(len(rows), np.nan)
+        if known.any():
+            vectors = left.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            vectors = vectors.reshape(int(present.sum()), -1)
+            at, a, b = np.flatnonzero(known), (np.cumsum(present) - 1)[rows[known]], cols[known]
+            step = max(1, SCORE_CELLS // vectors.shape[1])
+            for i in range(0, len(at), step):
+                part = slice(i, i + step)
+                score[at[part]] = np.einsum("ij,ij->i", vectors[a[part]], right_vectors[b[part]])
+        carried = [flat.field(c) for c in columns]
+        return pa.table([left.column("id").take(pa.array(rows)), *carried, pa.array(score, mask=~known)], names=["id", *columns, name])
+
+    return run
 
 
 def _chunks(df: DataFrame, at_least: int, chunk_bytes: int) -> int:
@@ -172,12 +187,37 @@ def blocked_topk(left: DataFrame, right: DataFrame, masked: DataFrame, k: int, c
     return _blocked(left, right, masked, chunk_bytes).applyInArrow(_topk_group(k), _OUT)
 
 
-def score_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Dot products of the listed pairs ``(id, other)``: ``(left_id, right_id, score)``; unknown ids are left out.
+def score_listed(left: DataFrame, right: DataFrame, pairs: DataFrame, chunk_bytes: int = CHUNK_BYTES, name: str = "score") -> DataFrame:
+    """``pairs(id, other, ...)`` with the dot product ``name`` of the two vectors; null where one has none.
 
-    Only the ids of a pair travel. Joining both vectors to every pair would move two vectors per pair instead.
+    The pairs of a left row are gathered per right chunk, fetch its vector once and travel as one row to a task that holds
+    the chunk; other columns of the pairs go with them, so nothing is joined back. Bytes moved grow with the pairs, plus one
+    left vector per (row, chunk) and one right chunk per task.
     """
-    return _blocked(left, right, pairs, chunk_bytes).applyInArrow(_pairs_group, _OUT)
+    extra = [c for c in pairs.columns if c != "id"]
+    right = durable(right)
+    n_right = _chunks(right, 1, chunk_bytes)
+    gathered = pairs.withColumn("rc", _chunk_of("other", n_right)).groupBy("id", "rc").agg(F.collect_list(F.struct(*extra)).alias("_rows"))
+    vectors = left.select("id", as_doubles(F.col("vector")).alias("vector"))
+    gathered = durable(gathered.join(vectors, "id", "left"))
+    size = gathered.agg(F.sum(8 * F.greatest(F.size("vector"), F.lit(0)) + 24 * F.size("_rows")).alias("b")).first()["b"] or 0
+    parallelism = left.sparkSession.sparkContext.defaultParallelism
+    slices = max(1, 2 * parallelism // n_right, math.ceil(size / (n_right * chunk_bytes)))
+    sliced = gathered.withColumn("slice", _chunk_of("id", slices))
+    targets = right.select(
+        _chunk_of("id", n_right).alias("rc"),
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
+        F.col("id").alias("id"),
+        as_doubles(F.col("vector")).alias("vector"),
+    )
+    fields = [pairs.schema["id"], *(pairs.schema[c] for c in extra), T.StructField(name, T.DoubleType())]
+    return sliced.groupBy("rc", "slice").cogroup(targets.groupBy("rc", "slice")).applyInArrow(_lists_group(extra, name), T.StructType(fields))
+
+
+def score_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``(left_id, right_id, score)`` of the listed pairs ``(id, other)``; pairs of unknown ids are left out."""
+    scored = score_listed(left, right, pairs.select("id", "other"), chunk_bytes).where(F.col("score").isNotNull())
+    return scored.withColumnsRenamed({"id": "left_id", "other": "right_id"})
 
 
 def score_dot_topk(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame, k: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

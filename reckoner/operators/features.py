@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reckoner.functions.scalars import micros
 from reckoner.functions.vectors import as_doubles, unit
-from reckoner.operators.dotscore import score_pairs
+from reckoner.operators.dotscore import score_listed
 from reckoner.operators.ordering import scalar
 from reckoner.operators.sequences import history_counts, user_profiles
 
@@ -82,12 +82,9 @@ def content_similarity(candidates: DataFrame, profiles: DataFrame, embeddings: D
     """Cosine of item vector and user profile; 0 for a user without profile or an item without vector."""
     users = profiles.select(F.col("user_id").alias("id"), F.col("profile").alias("vector"))
     items = embeddings.select(F.col("item_id").alias("id"), unit(as_doubles(F.col("embedding"))).alias("vector"))
-    pairs = candidates.select(F.col("user_id").alias("id"), F.col("item_id").alias("other"))
-    scores = score_pairs(users, items, pairs).select(
-        F.col("left_id").alias("user_id"), F.col("right_id").alias("item_id"), F.col("score").alias("_sim")
-    )
-    joined = candidates.join(scores, ["user_id", "item_id"], "left")
-    return joined.withColumn("content_sim", F.coalesce("_sim", F.lit(0.0))).drop("_sim")
+    pairs = candidates.withColumnsRenamed({"user_id": "id", "item_id": "other"})
+    scored = score_listed(users, items, pairs, name="_sim").withColumnsRenamed({"id": "user_id", "other": "item_id"})
+    return scored.withColumn("content_sim", F.coalesce("_sim", F.lit(0.0))).select(*candidates.columns, "content_sim")
 
 
 def candidate_features(recs: DataFrame, train: DataFrame, catalog: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -208,3 +208,20 @@ def test_a_heavy_user_lengthens_no_other_list(spark, token_setup):
             assert got.get(u, []) == own[:2]
     assert {u: lengths["with"][u] for u in range(1, 6)} == {u: lengths["without"][u] for u in range(1, 6)}
     assert lengths["with"][0] == 14 and max(lengths["without"].values()) < 14
+
+
+def test_listed_pairs_keep_their_columns(spark):
+    """Every pair comes back once with its own columns, whatever they are called; a missing vector gives null."""
+    rng = np.random.default_rng(7)
+    left, right = rng.normal(size=(5, 4)), rng.normal(size=(30, 4))
+    pairs = [(a, b, a * 100 + b, "x") for a in range(5) for b in range(30) if a == 0 or b % 3 == a % 3] + [(99, 1, 7, "x"), (1, 99, 8, None)]
+    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")
+    df = spark.createDataFrame(pairs, "id long, other long, vector long, score string")
+    for chunk_bytes in (64, 1 << 20):
+        rows = dotscore.score_listed(frame(left), frame(right), df, chunk_bytes, name="dot").collect()
+        got = {(r["id"], r["other"]): (r["vector"], r["score"], r["dot"]) for r in rows}
+        assert len(rows) == len(pairs)
+        for a, b, v, s in pairs:
+            dot = pytest.approx(left[a] @ right[b]) if a < 5 and b < 30 else None
+            assert got[a, b] == (v, s, dot)
+    assert dotscore.score_listed(frame(left), frame(right), df.where("false")).collect() == []
