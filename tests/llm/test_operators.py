@@ -357,6 +357,33 @@ def test_passages_put_together_from_common_parts_are_found(spark):
         assert len(texts[r["doc_id"]][r["start"] : r["end"]].split()) == 52
 
 
+def test_runs_of_words_in_two_documents_always_meet():
+    """A run of 50 words that two texts share has an event of equal hash in both, whatever stands around it; the seeds that
+    only one text holds are left out, as they are in the operator."""
+    rng = np.random.default_rng(31)
+    events = 0
+    for trial in range(300):
+        common = rng.integers(0, 1 << 62, 50 + trial % 3).astype(np.uint64)
+        other = rng.integers(0, 1 << 62, 40).astype(np.uint64)  # a second common part that stays below 50 words
+        texts = []
+        for _ in range(2):
+            around = [rng.integers(0, 1 << 62, rng.integers(0, 30)).astype(np.uint64) for _ in range(3)]
+            texts.append(np.concatenate([around[0], common, around[1], other, around[2]]))
+        seeds = [substring_dedup.seeds_of(t) for t in texts]
+        shared = np.intersect1d(seeds[0][0], seeds[1][0])
+        found = []
+        for hashes, at in seeds:
+            kept = np.isin(hashes, shared) & (hashes % np.uint64(2) == 0)
+            order = np.argsort(at[kept])
+            word, seed = at[kept][order], hashes[kept][order]
+            first, end, runs = substring_dedup.run_events(np.zeros(len(word), np.int64), seed, word, 50)
+            assert len(set(zip(first.tolist(), end.tolist()))) == len(first)
+            found.append({h: (int(word[f]), int(word[e])) for f, e, h in zip(first, end, runs.tolist())})
+            events += len(first)
+        assert set(found[0]) & set(found[1])
+    assert events < 600 * 52  # far fewer than one for each word
+
+
 def test_every_place_of_a_shared_passage_is_found(spark):
     rng = random.Random(13)
     passage, edited = prose(rng, 60), prose(rng, 120).split()
