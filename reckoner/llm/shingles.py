@@ -37,12 +37,15 @@ def word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         values = np.where(high, mixed(codes.astype(np.uint64)) | np.uint64(1), _CODE_HASH[np.where(high, 0, codes)])
     else:
         inside, values = _INSIDE[codes], _CODE_HASH[codes]
-    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # every text ends outside of words
+    edges = np.concatenate([[0], edges]) if len(inside) and inside[0] else edges
+    starts, ends = edges[::2], edges[1::2]
     opened = np.zeros(len(codes), dtype=np.int32)
     opened[starts] = starts
     place = np.arange(len(codes), dtype=np.int32) - np.maximum.accumulate(opened)
-    factors = _PLACE_HASH[place & (_PLACES - 1)] + (place >> 6).astype(np.uint64) * np.uint64(0x94D049BB133111EA)
+    factors = _PLACE_HASH[place & (_PLACES - 1)]
+    if len(starts) and (ends - starts).max() > _PLACES:
+        factors = np.where(inside, factors + (place >> 6).astype(np.uint64) * np.uint64(0x94D049BB133111EA), factors)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * factors, dtype=np.uint64)])
     size = np.array([len(t) + 1 for t in lowered], dtype=np.int64)
     lengths = np.cumsum(size)
