@@ -9,27 +9,24 @@ from pyspark.sql import functions as F
 
 from reckoner.functions.scalars import micros, pad_right
 from reckoner.functions.vectors import as_doubles, unit
-from reckoner.operators.ordering import global_index, newest, positions, split_hot_keys
+from reckoner.operators.ordering import global_index, newest, positions
 
 SEQ_ORDER = ["ts", "k1", "k2", "item_id"]
 
-# Elements one list row may hold. A longer history continues in further rows (``part`` 1, 2, ...).
-LIST_ROWS = 1_000_000
+# Elements of one list row: element n of a key stands in the row with ``part`` n div LIST_ROWS.
+LIST_ROWS = 10_000
 
 
 def chunked_lists(df: DataFrame, key: str, order_by: list[str], fields: dict[str, str], limit: int = LIST_ROWS) -> DataFrame:
-    """Ordered lists per key. Keys beyond ``limit`` rows continue in further rows instead of growing one value.
+    """Ordered lists per key in rows of at most ``limit`` elements: ``key``, ``part`` (position div ``limit``) and the lists.
 
-    ``fields`` maps output columns to input columns.
+    All rows are numbered over range partitions of (key, order), so a key of any size stays spread over many tasks, and no
+    list grows without bound. ``fields`` maps output columns to input columns.
     """
     df = df.select(key, *dict.fromkeys([*order_by, *fields.values()]))
-    ordinary, hot = split_hot_keys(df, [key], limit)
-    parts = ordinary.withColumn("part", F.lit(0).cast("long"))
-    if hot is not None:
-        placed = positions(hot, [key], order_by, "_pos")
-        chunk = F.floor(F.col("_pos") / limit).cast("long")
-        parts = parts.unionByName(placed.withColumn("part", chunk).drop("_pos"))
-    carried = [c for c in dict.fromkeys([*order_by, *fields.values()])]
+    part = F.floor(F.col("_pos") / limit).cast("long")
+    parts = positions(df, [key], order_by, "_pos").withColumn("part", part)
+    carried = dict.fromkeys([*order_by, *fields.values()])
     rows = F.array_sort(F.collect_list(F.struct(*carried)))
     lists = parts.groupBy(key, "part").agg(rows.alias("_rows"))
     return lists.select(key, "part", *[F.col(f"_rows.{src}").alias(out) for out, src in fields.items()])

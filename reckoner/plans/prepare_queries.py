@@ -9,6 +9,7 @@ from reckoner.functions.scalars import parse_price
 from reckoner.operators import cleaning, dimensions, sequences, splitting
 from reckoner.operators.ordering import durable, scratch_path
 from reckoner.plans.registry import presented, query
+from reckoner.plans.sequence_queries import TARGET_PARTS_SQL, TRAIN_PARTS_SQL
 from reckoner.sources import readers, writers
 from reckoner.sources.fixtures import Fixtures
 
@@ -105,19 +106,20 @@ def src_07(fx: Fixtures) -> DataFrame:
 
 @query(
     "src_08_load_sequences",
-    "SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY us, k1, k2, item_id) AS item_ids FROM z_train GROUP BY user_id",
+    f"""SELECT user_id, part, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY us, k1, k2, item_id) AS item_ids
+       FROM ({TRAIN_PARTS_SQL}) GROUP BY user_id, part""",
 )
 def src_08(fx: Fixtures) -> DataFrame:
     path = scratch_path(fx.spark, "sequences")
     train = splitting.time_split(fx.interactions()).where(F.col("split") == "train")
     writers.write_stage(sequences.user_sequences(train), path)
-    return presented(readers.read_stage(fx.spark, path).select("user_id", "item_ids"))
+    return presented(readers.read_stage(fx.spark, path).select("user_id", "part", "item_ids"))
 
 
 @query(
     "snk_01_export_csv",
-    """SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY item_id) AS item_ids
-       FROM z_targets WHERE split = 'val' GROUP BY user_id""",
+    f"""SELECT user_id, part, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY item_id) AS item_ids
+       FROM ({TARGET_PARTS_SQL.format(split="val")}) GROUP BY user_id, part""",
 )
 def snk_01(fx: Fixtures) -> DataFrame:
     stage, out = scratch_path(fx.spark, "stage"), scratch_path(fx.spark, "csv")
@@ -126,7 +128,7 @@ def snk_01(fx: Fixtures) -> DataFrame:
     tables = {"val_targets": f"{stage}/val_targets", "absent": f"{stage}/absent"}
     writers.export_csv(fx.spark, tables, out)
     back = fx.spark.read.option("header", True).csv(f"{out}/val_targets")
-    return back.select(F.col("user_id").cast("long").alias("user_id"), "item_ids")
+    return back.select(*[F.col(c).cast("long").alias(c) for c in ("user_id", "part")], "item_ids")
 
 
 @query(

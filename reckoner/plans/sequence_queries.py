@@ -99,11 +99,18 @@ def spl_07(fx: Fixtures) -> DataFrame:
     return presented(union.select("split", "user_id", "item_id", F.col("ts").alias("us")))
 
 
+TRAIN_PARTS_SQL = f"""SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY us, k1, k2, item_id) - 1) // {sequences.LIST_ROWS} AS part
+    FROM z_train"""
+TARGET_PARTS_SQL = f"""SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1) // {sequences.LIST_ROWS} AS part
+    FROM z_targets WHERE split = '{{split}}'"""
+
+
 @query(
     "seq_01_user_sequences",
-    """SELECT user_id, 0::BIGINT AS part, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY us, k1, k2, item_id) AS item_ids,
+    f"""SELECT user_id, part, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY us, k1, k2, item_id) AS item_ids,
        string_agg(invoice_id, ' ' ORDER BY us, k1, k2, item_id) AS invoice_ids,
-       string_agg(CAST(us AS VARCHAR), ' ' ORDER BY us, k1, k2, item_id) AS timestamps FROM z_train GROUP BY user_id""",
+       string_agg(CAST(us AS VARCHAR), ' ' ORDER BY us, k1, k2, item_id) AS timestamps
+       FROM ({TRAIN_PARTS_SQL}) GROUP BY user_id, part""",
 )
 def seq_01(fx: Fixtures) -> DataFrame:
     return presented(sequences.user_sequences(train_of(fx)))
@@ -111,8 +118,8 @@ def seq_01(fx: Fixtures) -> DataFrame:
 
 @query(
     "seq_02_target_sets",
-    """SELECT user_id, 0::BIGINT AS part, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY item_id) AS item_ids
-       FROM z_targets WHERE split = 'test' GROUP BY user_id""",
+    f"""SELECT user_id, part, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY item_id) AS item_ids
+       FROM ({TARGET_PARTS_SQL.format(split="test")}) GROUP BY user_id, part""",
 )
 def seq_02(fx: Fixtures) -> DataFrame:
     return presented(sequences.target_sets(split_of(fx).where(F.col("split") == "test")))
