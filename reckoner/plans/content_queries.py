@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reckoner.functions.text import ENGLISH_STOP_WORDS, WORD_PATTERN
 from reckoner.functions.vectors import as_doubles
-from reckoner.operators import embeddings as emb, semantic_ids as sid, tokens as tok
+from reckoner.operators import embeddings as emb, semantic_ids as sid, splitting, tokens as tok
 from reckoner.operators.dotscore import cosine_topk
 from reckoner.operators.ordering import durable, scratch_path
 from reckoner.operators.popularity import popularity
@@ -301,9 +301,9 @@ def tok_02(fx: Fixtures) -> DataFrame:
     return presented(users.withColumn("token", tok.user_bucket_token(F.col("user_id"), vocabulary)))
 
 
-def _stream_sql(n: int) -> str:
+def _stream_sql(n: int, rows: str = "z_train") -> str:
     return f"""SELECT user_id, list_concat([{ITEM_VOCAB_SQL} + user_id % 2000], flatten(list([tok1, tok2, tok3, tok4] ORDER BY us, k1, k2, item_id))) AS t
-        FROM (SELECT * FROM z_train QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us DESC, k1 DESC, k2 DESC, item_id DESC) <= {n})
+        FROM (SELECT * FROM {rows} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us DESC, k1 DESC, k2 DESC, item_id DESC) <= {n})
         JOIN z_tok USING (item_id) GROUP BY user_id"""
 
 
@@ -319,6 +319,18 @@ def tok_03(fx: Fixtures) -> DataFrame:
     return presented(tok.token_streams(train_of(fx), tokens, vocabulary))
 
 
+@query(
+    "tok_03_loo_token_streams",
+    f"""SELECT user_id, array_to_string(list_concat(t, list_transform(range(41 - len(t)), lambda i: pad)), ' ') AS tokens,
+        CAST(len(t) AS BIGINT) AS length FROM ({_stream_sql(10, "z_loo_train")}) CROSS JOIN (SELECT {ITEM_VOCAB_SQL} + 2000 AS pad)""",
+)
+def tok_03_loo(fx: Fixtures) -> DataFrame:
+    """Streams of the leave-one-out protocol: first interactions of each user without the last two."""
+    tokens, vocabulary = tokens_of(fx)
+    train = splitting.loo_split(fx.interactions()).where(F.col("split") == "train")
+    return presented(tok.token_streams(train, tokens, vocabulary))
+
+
 @query(
     "tok_04_length_statistics",
     f"""SELECT min(len(t))::BIGINT AS min_len, round(median(len(t)), 6) AS median_len, round(avg(len(t)), 6) AS mean_len, max(len(t))::BIGINT AS max_len

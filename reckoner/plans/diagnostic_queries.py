@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reckoner.operators import diagnostics as dia, popularity as pop, splitting
-from reckoner.plans.ctes import metrics_sql
+from reckoner.operators import diagnostics as dia, popularity as pop, splitting, token_model as tm
+from reckoner.operators.ordering import durable
+from reckoner.plans.ctes import BEAM, metrics_sql
+from reckoner.plans.model_queries import model_of
 from reckoner.plans.registry import presented, query
 from reckoner.plans.retrieval_queries import popularity_recs, targets_of
 from reckoner.plans.sequence_queries import split_of, train_of
@@ -61,6 +63,37 @@ def dia_04(fx: Fixtures) -> DataFrame:
     return presented(dia.percent_already_seen(popularity_recs(fx), loo.where(F.col("split") == "train")))
 
 
+def raw_beam_recs(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """Generated lists of all users with a context, seen items not removed, and the train rows they come from."""
+    train = durable(train_of(fx))
+    model, tokens = model_of(fx, train)
+    nobody = pop.seen_pairs(train).where("false")
+    return tm.beam_topk(tm.user_contexts(train, tokens), model, nobody, BEAM, BEAM), train
+
+
+RAW_BEAM_SQL = f"SELECT user_id, item_id FROM z_user_x JOIN z_beam_lists USING (x) WHERE rank <= {BEAM}"
+
+
+@query(
+    "dia_03_cold_generated",
+    f"""SELECT round(100.0 * count_if(item_id NOT IN (SELECT item_id FROM z_train)) / count(*), 6) AS pct_cold, count(*) AS n_rows
+       FROM ({RAW_BEAM_SQL})""",
+)
+def dia_03_generated(fx: Fixtures) -> DataFrame:
+    recs, train = raw_beam_recs(fx)
+    return presented(dia.percent_cold(recs, train))
+
+
+@query(
+    "dia_04_seen_generated",
+    f"""SELECT round(100.0 * count_if(s.item_id IS NOT NULL) / count(*), 6) AS pct_seen, count(*) AS n_rows
+       FROM ({RAW_BEAM_SQL}) r LEFT JOIN z_seen s USING (user_id, item_id)""",
+)
+def dia_04_generated(fx: Fixtures) -> DataFrame:
+    recs, train = raw_beam_recs(fx)
+    return presented(dia.percent_already_seen(recs, train))
+
+
 @query(
     "dia_05_coverage",
     """SELECT count(*) AS distinct_items, CAST(sum(slots) AS BIGINT) AS n_slots,
