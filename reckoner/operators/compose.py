@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PAST_THE_END = 1 << 62
+RANK_BLOCK = 4096  # ranks of one list that a task counts for one user
 
 
 def top_unseen(users: DataFrame, lists: DataFrame, seen: DataFrame, k: int) -> DataFrame:
@@ -14,32 +14,51 @@ def top_unseen(users: DataFrame, lists: DataFrame, seen: DataFrame, k: int) -> D
     ``users(user_id, list_id)`` names the list of every user, ``lists(list_id, rank, item_id, score)`` holds the
     lists with ranks 1..n, ``seen(user_id, item_id)`` are distinct pairs.
 
-    The ranks a user has seen cut the list into gaps. Before the j-th seen rank there are ``rank - j`` unseen
-    entries, so the gaps that matter are known from the seen ranks alone, and only the ``k`` ranks that survive
-    are generated and looked up. Work is linear in (seen pairs + users * k).
+    Before the j-th seen rank there are ``rank - j`` unseen entries, so the unseen ranks follow from the seen ones, and
+    only the ``k`` ranks that survive are generated and looked up. Work is linear in (seen pairs + users * k).
     """
     return unseen_entries(users, lists, seen, k).drop("list_id")
 
 
-def unseen_entries(users: DataFrame, lists: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+def seen_before(marks: DataFrame, k: int, block: int = RANK_BLOCK) -> DataFrame:
+    """Add ``_before``, how many seen ranks of the (user, list) are smaller, to ``marks(user_id, list_id, rank)``.
+
+    A running count in two steps: seen ranks per block of the list, then ranks within a block. A user who has seen a third
+    of everything is spread over as many groups as their lists have blocks. Blocks that begin after ``k`` unseen entries
+    cannot matter and are left out.
+    """
+    keys = ["user_id", "list_id"]
+    marks = marks.withColumn("_block", F.floor((F.col("rank") - 1) / block))
+    sizes = marks.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    needed = sizes.where(F.col("_block") * block - F.col("_earlier") < k).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("rank")) - 1
+    placed = marks.withColumn("_within", within).join(needed, [*keys, "_block"])
+    return placed.select(*keys, "rank", (F.col("_earlier") + F.col("_within")).alias("_before"))
+
+
+def unseen_entries(users: DataFrame, lists: DataFrame, seen: DataFrame, k: int, block: int = RANK_BLOCK) -> DataFrame:
     """``top_unseen`` for users that may have several lists: one block of ranks per (user, list)."""
     users = users.select("user_id", "list_id")
     places = lists.select("list_id", "item_id", "rank")
     hits = seen.select("user_id", "item_id").join(users, "user_id").join(places, ["list_id", "item_id"])
-    ends = users.withColumn("rank", F.lit(_PAST_THE_END).cast("long"))
-    marks = hits.select("user_id", "list_id", F.col("rank").cast("long").alias("rank")).unionByName(ends)
-
-    by_rank = Window.partitionBy("user_id", "list_id").orderBy("rank")
-    seen_before = F.row_number().over(by_rank) - 1
-    gaps = marks.withColumns({"_before": seen_before, "_prev": F.lag("rank", 1, 0).over(by_rank)})
-    last = F.least(F.col("rank") - 1, F.col("_before") + k)
-    gaps = gaps.where((F.col("_prev") - F.col("_before") < k) & (F.col("_prev") < last))
-    wanted = gaps.select(
-        "user_id", "list_id", "_before", F.explode(F.sequence(F.col("_prev") + 1, last)).alias("_list_rank")
+    marks = hits.select("user_id", "list_id", F.col("rank").cast("long").alias("rank"))
+
+    # After _unseen unseen entries the list has _seen seen ones: at most k such steps per (user, list).
+    steps = seen_before(marks, k, block).select(
+        "user_id", "list_id", (F.col("rank") - 1 - F.col("_before")).alias("_unseen"), (F.col("_before") + 1).alias("_seen")
     )
+    starts = users.select("user_id", "list_id", F.lit(0).cast("long").alias("_unseen"), F.lit(0).cast("long").alias("_seen"))
+    steps = steps.where(F.col("_unseen") < k).unionByName(starts)
+    steps = steps.groupBy("user_id", "list_id", "_unseen").agg(F.max("_seen").alias("_seen"))
+    by_step = Window.partitionBy("user_id", "list_id").orderBy("_unseen")
+    steps = steps.withColumn("_next", F.lead("_unseen", 1, k).over(by_step))
+    wanted = steps.select("user_id", "list_id", "_seen", F.explode(F.sequence(F.col("_unseen") + 1, F.col("_next"))).alias("_place"))
+    wanted = wanted.withColumn("_list_rank", F.col("_place") + F.col("_seen"))
     entries = lists.select("list_id", F.col("rank").cast("long").alias("_list_rank"), "item_id", "score")
     return wanted.join(entries, ["list_id", "_list_rank"]).select(
-        "user_id", "list_id", "item_id", "score", (F.col("_list_rank") - F.col("_before")).cast("int").alias("rank")
+        "user_id", "list_id", "item_id", "score", F.col("_place").cast("int").alias("rank")
     )
 
 

@@ -1,9 +1,9 @@
 """Exact top-K dot products between two vector tables, as a blocked product that Spark shuffles.
 
-Both sides are cut into chunks of bounded size; every (left chunk, right chunk) pair is one task group that
-multiplies two small matrices and keeps k entries per left row. Nothing is broadcast and nothing passes through
-the driver, so the same plan serves a thousand or a billion rows. Masked pairs travel to the one group that
-scores them.
+The right side is cut into chunks of bounded size by falling norm; one task multiplies some left rows with one chunk and
+keeps k entries per left row. A first visit to the longest vectors gives every left row its k-th score; a later chunk is
+only sent to rows for which the product of the norms can still reach that score. Nothing is broadcast and nothing passes
+through the driver. Masked pairs travel with their left row to the one task that scores them.
 """
 
 from __future__ import annotations
@@ -12,17 +12,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reckoner.functions.scalars import SCORE_DIGITS
 from reckoner.functions.vectors import as_doubles, unit
 from reckoner.operators.compose import ranked
-from reckoner.operators.ordering import durable, newest
+from reckoner.operators.ordering import durable, newest, scalar
 
 CHUNK_BYTES = 64 << 20  # vectors of one chunk
 SCORE_CELLS = 4 << 20  # cells of the score matrix held at a time
@@ -73,32 +72,26 @@ def _result(left: list, right: list, score: list) -> pa.Table:
     )
 
 
-def _sides(left: pa.Table, right: pa.Table):
-    """Both chunks as sorted ids and matrices, and the listed pairs as row, column and ids."""
-    listed = left.filter(pc.is_valid(left.column("other")))
-    left_ids, left_vectors = _matrix(left.filter(pc.is_null(left.column("other"))))
-    right_ids, right_vectors = _matrix(right)
-    a, b = listed.column("id").to_numpy(), listed.column("other").to_numpy()
-    rows, in_left = _places(left_ids, a)
-    cols, in_right = _places(right_ids, b)
-    known = in_left & in_right
-    return left_ids, left_vectors, right_ids, right_vectors, rows[known], cols[known]
-
-
 def _topk_group(k: int):
+    """The best ``k`` of one right chunk for some left rows; the ids in ``hidden`` are left out."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left_ids, left_vectors, right_ids, right_vectors, m_rows, m_cols = _sides(left, right)
-        if not len(left_ids) or not len(right_ids):
+        if not len(left) or not len(right):
             return _result([], [], [])
-        order = np.argsort(m_rows, kind="stable")
-        m_rows, m_cols = m_rows[order], m_cols[order]
+        order = np.argsort(left.column("id").to_numpy(), kind="stable")
+        left_ids, left_vectors = _matrix(left)
+        right_ids, right_vectors = _matrix(right)
+        hidden = left.column("hidden").combine_chunks().take(pa.array(order))
+        ends = np.concatenate([[0], np.cumsum(hidden.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        others = hidden.flatten().to_numpy(zero_copy_only=False)
         found_left, found_right, found_score = [], [], []
         step = max(1, SCORE_CELLS // len(right_ids))
         for start in range(0, len(left_ids), step):
             stop = min(start + step, len(left_ids))
             neg = -np.round(left_vectors[start:stop] @ right_vectors.T, SCORE_DIGITS)
-            lo, hi = np.searchsorted(m_rows, [start, stop])
-            neg[m_rows[lo:hi] - start, m_cols[lo:hi]] = np.inf
+            rows = np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1]))
+            cols, known = _places(right_ids, others[ends[start] : ends[stop]])
+            neg[rows[known], cols[known]] = np.inf
             rows, cols = _best(neg, k)
             found_left.append(left_ids[start + rows])
             found_right.append(right_ids[cols])
@@ -147,44 +140,81 @@ def _chunk_of(column: str, n: int):
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
-def _blocked(left: DataFrame, right: DataFrame, listed: DataFrame, chunk_bytes: int):
-    """Cogroup both vector tables by (left chunk, right chunk); listed pairs join the one group they belong to.
+def _norm(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
+
+
+def norm_chunks(right: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """``(id, vector, norm, rc)`` with chunks numbered by falling norm, and how many there are at most.
+
+    Ranges of (norm, id) are of even size even if all norms are equal.
+    """
+    right = durable(right.select("id", as_doubles(F.col("vector")).alias("vector")).withColumn("norm", _norm(F.col("vector"))))
+    n = _chunks(right, 1, chunk_bytes)
+    if n == 1:
+        return right.withColumn("rc", F.lit(0)), 1
+    return durable(right.repartitionByRange(n, F.col("norm").desc(), "id").withColumn("rc", F.spark_partition_id())), n
+
+
+def reaching(rows: DataFrame, head: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """``(id, rc)``: the chunks beyond the first that may hold one of the ``k`` best of a left row.
+
+    No score in a chunk exceeds the product of the row's norm and the chunk's largest. Rows that found fewer than ``k``
+    in the first chunk need all. The bounds are one number per chunk.
+    """
+    floors = head.groupBy(F.col("left_id").alias("id")).agg(F.count("*").alias("_n"), F.min("score").alias("_floor"))
+    floors = floors.select("id", F.when(F.col("_n") >= k, F.col("_floor")).alias("_floor"))
+    bounds = right.where("rc > 0").groupBy("rc").agg(F.max("norm").alias("bound"))
+    bounds = bounds.agg(F.collect_list(F.struct("rc", "bound")).alias("bounds"))
+    slack = 10.0**-SCORE_DIGITS  # rounding may lift a score to the floor, where the smaller id wins
+    norms = rows.select("id", _norm(F.col("vector")).alias("_norm")).join(floors, "id", "left").withColumn("_bounds", scalar(bounds, "bounds"))
+    near = F.filter("_bounds", lambda b: F.col("_floor").isNull() | (F.col("_norm") * b.bound * (1 + 1e-9) + slack >= F.col("_floor")))
+    return norms.select("id", F.explode(F.transform(near, lambda b: b.rc)).alias("rc"))
+
+
+def _product(rows: DataFrame, right: DataFrame, n_right: int, k: int, chunk_bytes: int) -> DataFrame:
+    """Cogroup ``rows(id, vector, hidden, rc)``, in slices of bounded bytes, with the chunks they ask for.
 
     Every column gets a new alias: a cogroup whose two sides share attributes loses columns to pruning.
     """
-    left, right = durable(left), durable(right)  # each side is counted and then replicated
-    parallelism = left.sparkSession.sparkContext.defaultParallelism
-    n_right = _chunks(right, 1, chunk_bytes)
-    n_left = _chunks(left, max(1, 2 * parallelism // n_right), chunk_bytes)
-    vectors = left.select(
-        _chunk_of("id", n_left).alias("lc"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("rc"),
+    spread = max(1, 2 * rows.sparkSession.sparkContext.defaultParallelism // n_right)
+    size = F.sum(8 * F.size("vector") + 8 * F.greatest(F.size("hidden"), F.lit(0)))
+    slices = rows.groupBy("rc").agg(F.greatest(F.ceil(size / chunk_bytes), F.lit(spread)).cast("int").alias("_slices"))
+    sliced = rows.join(slices, "rc").select(
+        F.col("rc").alias("rc"),
+        F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int").alias("slice"),
         F.col("id").alias("id"),
-        as_doubles(F.col("vector")).alias("vector"),
-        F.lit(None).cast("long").alias("other"),
+        F.col("vector").alias("vector"),
+        F.col("hidden").alias("hidden"),
     )
-    pairs = listed.select(
-        _chunk_of("id", n_left).alias("lc"),
-        _chunk_of("other", n_right).alias("rc"),
+    targets = right.join(slices, "rc").select(
+        F.col("rc").alias("rc"),
+        F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("slice"),
         F.col("id").alias("id"),
-        F.array().cast("array<double>").alias("vector"),  # empty, not null: runs of null lists are slow to hand over
-        F.col("other").alias("other"),
-    )
-    targets = right.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("lc"),
-        _chunk_of("id", n_right).alias("rc"),
-        F.col("id").alias("id"),
-        as_doubles(F.col("vector")).alias("vector"),
+        F.col("vector").alias("vector"),
     )
-    return vectors.unionByName(pairs).groupBy("lc", "rc").cogroup(targets.groupBy("lc", "rc"))
+    return sliced.groupBy("rc", "slice").cogroup(targets.groupBy("rc", "slice")).applyInArrow(_topk_group(k), _OUT)
 
 
 def blocked_topk(left: DataFrame, right: DataFrame, masked: DataFrame, k: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``(left_id, right_id, score)`` with up to ``k`` best pairs per left row and right chunk.
+    """``(left_id, right_id, score)`` with up to ``k`` best pairs per left row and visited right chunk.
 
-    ``left(id, vector)``, ``right(id, vector)``; ``masked(id, other)`` are distinct pairs that must not appear.
+    ``left(id, vector)``, ``right(id, vector)``; ``masked(id, other)`` are distinct pairs that must not appear. The list of
+    a row's masked ids within one chunk is no longer than the chunk.
     """
-    return _blocked(left, right, masked, chunk_bytes).applyInArrow(_topk_group(k), _OUT)
+    right, n_right = norm_chunks(right, chunk_bytes)
+    placed = masked.join(right.select(F.col("id").alias("other"), "rc"), "other")
+    hidden = placed.groupBy("id", "rc").agg(F.collect_list("other").alias("hidden"))
+    if n_right > 1:
+        hidden = durable(hidden)
+    rows = left.select("id", as_doubles(F.col("vector")).alias("vector")).withColumn("rc", F.lit(0))
+    rows = durable(rows.join(hidden, ["id", "rc"], "left"))
+    head = _product(rows, right, n_right, k, chunk_bytes)
+    if n_right == 1:
+        return head
+    head = durable(head)
+    further = reaching(rows, head, right, k).join(rows.select("id", "vector"), "id").join(hidden, ["id", "rc"], "left")
+    return head.unionByName(_product(durable(further), right, n_right, k, chunk_bytes))
 
 
 def score_listed(left: DataFrame, right: DataFrame, pairs: DataFrame, chunk_bytes: int = CHUNK_BYTES, name: str = "score") -> DataFrame:

@@ -40,6 +40,26 @@ def test_top_unseen(spark, seed, k):
         assert got.get(u, []) == [(i, r + 1) for r, i in enumerate(expected)]
 
 
+@pytest.mark.parametrize("block", [4, 16])
+def test_seen_ranks_of_one_heavy_user_are_counted_in_blocks(spark, block):
+    rng = random.Random(block)
+    items = rng.sample(range(1000), 200)
+    seen = {(0, i) for i in items[:190]} - {(0, items[17]), (0, items[150])}  # a user who has seen nearly everything
+    seen |= {(u, i) for u in range(1, 12) for i in rng.sample(items, 17)}
+    list_df = spark.createDataFrame([(1, r + 1, i, 0.0) for r, i in enumerate(items)], "list_id int, rank long, item_id long, score double")
+    user_df = spark.createDataFrame([(u, 1) for u in range(12)], "user_id long, list_id int")
+    seen_df = spark.createDataFrame(list(seen), "user_id long, item_id long")
+    got = _by_user(compose.unseen_entries(user_df, list_df, seen_df, 7, block), "item_id", "rank")
+    for u in range(12):
+        assert got[u] == [(i, r + 1) for r, i in enumerate([i for i in items if (u, i) not in seen][:7])]
+    marks = seen_df.join(list_df, "item_id").select("user_id", "list_id", "rank")
+    counted = compose.seen_before(marks, 7, block).collect()
+    ranks = {u: sorted(r["rank"] for r in marks.where(F.col("user_id") == u).collect()) for u in range(12)}
+    assert all(r["_before"] == ranks[r["user_id"]].index(r["rank"]) for r in counted)
+    assert len(counted) < marks.count()  # blocks beyond the seventh unseen entry are left out
+    assert {r["rank"] for r in counted if r["user_id"] == 0} >= {r for r in ranks[0] if r - 1 - ranks[0].index(r) < 7}
+
+
 def test_popularity_order(spark):
     ranked = pop.popularity(history(spark, [(1, 5, 1), (2, 5, 2), (1, 3, 3), (1, 4, 4)]))
     assert [(r["item_id"], r["rank"]) for r in ranked.orderBy("rank").collect()] == [(5, 1), (3, 2), (4, 3)]
@@ -61,6 +81,30 @@ def test_dot_topk_in_chunks(spark, chunk_bytes):
         assert got[u] == order[:6]
 
 
+def test_short_vectors_are_not_visited(spark):
+    rng = np.random.default_rng(9)
+    users, items = rng.normal(size=(40, 8)), rng.normal(size=(400, 8))
+    items *= (0.97 ** np.arange(400))[rng.permutation(400)][:, None]
+    user_df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(users)], "id long, vector array<double>")
+    item_df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "id long, vector array<double>")
+    seen = {(u, int(i)) for u in range(1, 40) for i in rng.integers(0, 400, 30)} | {(0, i) for i in range(400) if i % 100}
+    seen_df = spark.createDataFrame(list(seen), "id long, other long")
+    chunk_bytes, k = 8 * 8 * 25, 5
+    found = dotscore.blocked_topk(user_df, item_df, seen_df, k, chunk_bytes)
+    named = found.select(F.col("left_id").alias("user_id"), F.col("right_id").alias("item_id"), "score")
+    got = _by_user(compose.ranked(named, k), "item_id")
+    scores = np.round(users @ items.T, 6)
+    for u in range(40):
+        order = sorted((i for i in range(400) if (u, i) not in seen), key=lambda i: (-scores[u, i], i))
+        assert got[u] == order[:k]
+    right, n = dotscore.norm_chunks(item_df, chunk_bytes)
+    head = found.join(right.where("rc = 0").select(F.col("id").alias("right_id")), "right_id")
+    pairs = dotscore.reaching(user_df, head, right, k).groupBy("id").count().collect()
+    visited = {r["id"]: r["count"] for r in pairs}
+    assert n == 16 and visited[0] == 15  # user 0 has only four unseen items: every chunk is read
+    assert sum(visited.values()) < 40 * 15 / 2
+
+
 def test_score_pairs(spark):
     rng = np.random.default_rng(6)
     left, right = rng.normal(size=(9, 3)), rng.normal(size=(8, 3))
