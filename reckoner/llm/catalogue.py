@@ -77,7 +77,7 @@ counted AS (SELECT page_id, count(*) FILTER (weight IS NULL) AS strict_hits, cou
                    coalesce(sum(weight), 0)::BIGINT AS soft_weight FROM hits GROUP BY page_id),
 ruled AS (SELECT *, CASE {cases} END AS rule FROM parts)
 SELECT r.page_id, host, path, r.rule,
-       coalesce(rules.verdict, CASE WHEN coalesce(strict_hits, 0) > 0 OR coalesce(soft_weight, 0) >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(rules.verdict, CASE WHEN coalesce(strict_hits, 0) > 0 OR (coalesce(soft_hits, 0) >= {urls.SOFT_DISTINCT} AND coalesce(soft_weight, 0) >= {urls.SOFT_LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_hits, 0) AS soft_hits, coalesce(soft_weight, 0) AS soft_weight
 FROM ruled r LEFT JOIN counted USING (page_id) LEFT JOIN rules ON rules.rule = r.rule
 """

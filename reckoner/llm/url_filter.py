@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from reckoner.llm.common import pick
 
-# Own lists. One strict term rejects a url; soft terms reject when the weights of distinct ones reach SOFT_LIMIT.
+# Own lists. One strict term rejects a url; soft terms reject when there are SOFT_DISTINCT different ones and their weights
+# reach SOFT_LIMIT.
 STRICT_TERMS = ("adult", "bets", "betting", "casino", "escort", "gambling", "hentai", "jackpot", "nude", "porn", "porno",
                 "poker", "sex", "slots", "viagra", "warez", "xxx")
 SOFT_TERMS = {
@@ -20,7 +21,7 @@ SOFT_TERMS = {
     "free": 1, "keygen": 2, "loan": 1, "lottery": 2, "mirror": 1, "pills": 2, "prize": 1, "promo": 1, "proxy": 1,
     "spam": 2, "torrent": 1, "track": 1, "tracker": 1, "win": 1, "winner": 1,
 }
-SOFT_LIMIT = 2
+SOFT_LIMIT, SOFT_DISTINCT = 2, 2
 
 # Fixed values of the contract: (verdict, rule); a rule is a host, then the start of the path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -90,12 +91,19 @@ def _count_terms(batches: Iterator[pa.RecordBatch], url_at: int, strict, soft) -
 
 
 def url_filter(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, strict=STRICT_TERMS, soft=None, soft_limit=SOFT_LIMIT
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    rules=RULES,
+    strict=STRICT_TERMS,
+    soft=None,
+    soft_limit=SOFT_LIMIT,
+    soft_distinct=SOFT_DISTINCT,
 ) -> DataFrame:
     """Judge urls. Returns ``id_col, host, path, rule, verdict, strict_hits, soft_hits, soft_weight`` per row.
 
-    The longest fitting rule decides; without one a url is blocked on any strict term or when the weights of distinct
-    soft terms reach ``soft_limit``. Terms count only between characters that are no ASCII letter or digit, in the whole
+    The longest fitting rule decides; without one a url is blocked on any strict term, or on at least ``soft_distinct``
+    different soft terms whose weights reach ``soft_limit``. Terms count only between characters that are no ASCII letter or digit, in the whole
     url. One pass over the urls, no shuffle: any host may hold any share of the rows, and only id and url are read.
 
     Null urls, and urls without ``://``, have an empty host and path; a null url is allowed. Every row is judged by
@@ -108,7 +116,8 @@ def url_filter(
     url = F.coalesce(F.col("_url"), F.lit(""))
     judged = counted.withColumns({"host": url_host(url), "path": url_path(url)})
     judged = judged.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
-    own = F.when((F.col("strict_hits") > 0) | (F.col("soft_weight") >= soft_limit), "block").otherwise("allow")
+    soft_block = (F.col("soft_hits") >= soft_distinct) & (F.col("soft_weight") >= soft_limit)
+    own = F.when((F.col("strict_hits") > 0) | soft_block, "block").otherwise("allow")
     return judged.select(
         F.col("_id").alias(id_col),
         "host",
