@@ -43,7 +43,7 @@ CONTEXT = {
 }
 _MAIL_SIGNS = ("@", "(at)", "(AT)", "[at]", "[AT]")
 FIT_CANDIDATES = 20_000  # different candidates of each kind that the trees are fitted on, at most
-LEAST_FIT = 60
+HELD_OUT = 3  # one in so many different candidates is never fitted and sets the thresholds
 PRECISION = 0.95
 _TREES, _DEPTH = 12, 4
 _BEFORE, _AFTER = 24, 12
@@ -189,26 +189,36 @@ def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn("_candidates", found).drop("_t", *[f"_c_{k}" for k in KINDS])
 
 
-def fit_trees(spans: DataFrame) -> tuple[GBTClassificationModel, dict[int, float]] | None:
-    """Boosted trees over candidates and a margin threshold for each kind.
+def examples(spans: DataFrame) -> DataFrame:
+    """``(k, x, label, n, held_out)``: the different candidates of every kind and how often each stands in the texts.
 
-    A candidate that equals a validated span of its kind is an example of personal data, any other is not. At most
-    ``FIT_CANDIDATES`` of each kind, in the order of a hash of their features, are fitted; equal ones count once. A kind's
-    threshold is the lowest margin from which on at least ``PRECISION`` of all its candidates validate, so a candidate above
-    it looks like those that do. A kind without such a margin adds nothing. None without both classes.
+    A candidate that equals a validated span of its kind is an example of personal data, any other is not. All candidates
+    of the same features are held out or none.
     """
     rows = spans.select("_base", F.explode("_candidates").alias("c"))
     label = F.exists("_base", lambda b: (b.k == F.col("c.k")) & (b.start == F.col("c.start")) & (b.end == F.col("c.end")))
     rows = rows.select(F.col("c.k").alias("k"), F.col("c.x").alias("x"), label.cast("double").alias("label"))
-    rows = stage(rows.groupBy("k", "x", "label").agg(F.count("*").alias("n")))
+    counts = rows.groupBy("k", "x", "label").agg(F.count("*").alias("n"))
+    return counts.withColumn("held_out", F.pmod(F.xxhash64(F.lit("calibration"), "x"), F.lit(HELD_OUT)) == 0)
+
+
+def fit_trees(spans: DataFrame) -> tuple[GBTClassificationModel, dict[int, float]] | None:
+    """Boosted trees over candidates and a margin threshold for each kind.
+
+    At most ``FIT_CANDIDATES`` of each kind, in the order of a hash of their features, are fitted; equal ones count once. A
+    kind's threshold is the lowest margin from which on at least ``PRECISION`` of all its held-out candidates validate, so
+    a candidate above it looks like those that do. A kind without such a margin adds nothing. None if the candidates to
+    fit are of one class, however many there are.
+    """
+    rows = stage(examples(spans))
     order = [F.xxhash64("x"), "label"]
-    sample = stage(reduce(DataFrame.unionByName, [rows.where(F.col("k") == k).orderBy(*order).limit(FIT_CANDIDATES) for k in range(len(KINDS))]))
-    counts = sample.groupBy("label").agg(F.sum("n").alias("n")).collect()
-    if len(counts) < 2 or sum(r["n"] for r in counts) < LEAST_FIT:
+    to_fit = rows.where(~F.col("held_out"))
+    sample = stage(reduce(DataFrame.unionByName, [to_fit.where(F.col("k") == k).orderBy(*order).limit(FIT_CANDIDATES) for k in range(len(KINDS))]))
+    if sample.select("label").distinct().count() < 2:
         return None
     trees = GBTClassifier(maxIter=_TREES, maxDepth=_DEPTH, stepSize=0.3, seed=7, maxMemoryInMB=64, checkpointInterval=-1)
     model = trees.fit(sample.select(array_to_vector("x").alias("features"), "label"))
-    scored = rows.select("k", "label", "n", F.round(margin(model, F.col("x")), 3).alias("m"))
+    scored = rows.where("held_out").select("k", "label", "n", F.round(margin(model, F.col("x")), 3).alias("m"))
     good = F.sum(F.col("label") * F.col("n")).alias("good")
     steps = scored.groupBy("k", "m").agg(good, F.sum("n").alias("n")).orderBy("k", F.desc("m")).collect()
     thresholds: dict[int, float] = {}
@@ -248,8 +258,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     threshold that overlap no base span. Everything is a column expression over one row, so there is no shuffle but of
     the counts of equal candidates for the fit; the text is read once for the fit and once for the result.
 
-    Null and empty texts have no spans. Repeated rows and ids are rows of their own; a null id stays null. With too few
-    candidates to fit, or of one class only, nothing is added.
+    Null and empty texts have no spans. Repeated rows and ids are rows of their own; a null id stays null. With
+    candidates of one class only there is nothing to fit and nothing is added.
     """
     rows = with_spans(pick(docs, _id=id_col, _text=text_col), "_text").drop("_text")
     fitted = fit_trees(rows)

@@ -116,7 +116,9 @@ def test_url_rules_and_terms(spark):
         "http://cheap.org/free": "block",
         "http://free.org/free": "allow",
         "http://x.net": "allow",
-        "spam/x": "block",
+        "spam/x": "allow",  # one soft term, whatever its weight and number
+        "http://spam.org/spam": "allow",
+        "spam/ads": "block",
         None: "allow",
         "": "allow",
     }
@@ -474,6 +476,25 @@ def test_rare_kinds_are_fitted_and_calibrated_on_all_their_candidates(spark, mon
     assert {pii.KINDS.index("email"), pii.KINDS.index("phone")} <= set(thresholds)
 
 
+def test_few_candidates_are_fitted_and_held_out_ones_calibrate(spark):
+    """No size below which the method is off; thresholds come from candidates that the trees have not seen."""
+    rng = random.Random(4)
+    rows = [(i, f"call +{rng.randint(10**10, 10**11)} {prose(rng, 3)}") for i in range(12)]
+    rows += [(100 + i, f"part {rng.randint(10**6, 10**7)} 00{rng.randint(10**9, 10**10)} {prose(rng, 3)}") for i in range(12)]
+    spans = pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string"), "text")
+    examples = pii.examples(spans)
+    assert examples.groupBy("x").agg(F.count_distinct("held_out").alias("n")).where("n > 1").isEmpty()
+    assert {r["held_out"] for r in examples.collect()} == {True, False}
+    model, thresholds = pii.fit_trees(spans)
+    k = pii.KINDS.index("phone")
+    unseen = examples.where((F.col("k") == k) & F.col("held_out")).withColumn("m", F.round(pii.margin(model, F.col("x")), 3)).collect()
+    if k in thresholds:
+        above = [r for r in unseen if r["m"] >= thresholds[k]]
+        assert sum(r["label"] * r["n"] for r in above) >= pii.PRECISION * sum(r["n"] for r in above) > 0
+    one_class = spark.createDataFrame([(1, "call +12345678901")], "doc_id long, text string")
+    assert pii.fit_trees(pii.with_spans(one_class, "text")) is None
+
+
 # --- packing
 
 
