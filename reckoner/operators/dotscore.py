@@ -9,17 +9,18 @@ through the driver. Masked pairs travel with their left row to the one task that
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reckoner.functions.scalars import SCORE_DIGITS
-from reckoner.functions.vectors import as_doubles, unit
+from reckoner.functions.vectors import as_doubles, norm, unit
 from reckoner.operators.compose import ranked
 from reckoner.operators.ordering import durable, newest, scalar
 
@@ -140,16 +141,12 @@ def _chunk_of(column: str, n: int):
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
-def _norm(vector: Column) -> Column:
-    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
-
-
 def norm_chunks(right: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     """``(id, vector, norm, rc)`` with chunks numbered by falling norm, and how many there are at most.
 
     Ranges of (norm, id) are of even size even if all norms are equal.
     """
-    right = durable(right.select("id", as_doubles(F.col("vector")).alias("vector")).withColumn("norm", _norm(F.col("vector"))))
+    right = durable(right.select("id", as_doubles(F.col("vector")).alias("vector")).withColumn("norm", norm(F.col("vector"))))
     n = _chunks(right, 1, chunk_bytes)
     if n == 1:
         return right.withColumn("rc", F.lit(0)), 1
@@ -167,7 +164,7 @@ def reaching(rows: DataFrame, head: DataFrame, right: DataFrame, k: int) -> Data
     bounds = right.where("rc > 0").groupBy("rc").agg(F.max("norm").alias("bound"))
     bounds = bounds.agg(F.collect_list(F.struct("rc", "bound")).alias("bounds"))
     slack = 10.0**-SCORE_DIGITS  # rounding may lift a score to the floor, where the smaller id wins
-    norms = rows.select("id", _norm(F.col("vector")).alias("_norm")).join(floors, "id", "left").withColumn("_bounds", scalar(bounds, "bounds"))
+    norms = rows.select("id", norm(F.col("vector")).alias("_norm")).join(floors, "id", "left").withColumn("_bounds", scalar(bounds, "bounds"))
     near = F.filter("_bounds", lambda b: F.col("_floor").isNull() | (F.col("_norm") * b.bound * (1 + 1e-9) + slack >= F.col("_floor")))
     return norms.select("id", F.explode(F.transform(near, lambda b: b.rc)).alias("rc"))
 
@@ -272,6 +269,69 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, chunk_bytes: int =
     return ranked(found.withColumnsRenamed({"left_id": "query_id", "right_id": "item_id"}), k, keys=("query_id",))
 
 
+def tables_for(near: float, recall: float, bits: int) -> int:
+    """Tables needed so that two vectors of cosine ``near`` share a signature of ``bits`` hyperplanes with chance ``recall``."""
+    alike = (1 - math.acos(near) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - alike)))
+
+
+def _signatures(tables: int, bits: int, seed: int):
+    """Adds the signature of every row in every table: which side of each seeded random plane it lies on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(vectors.shape[1], tables * bits))
+            sides = (vectors @ planes >= 0).reshape(len(batch), tables, bits)
+            codes = sides @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
+            lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, tables, dtype="int32"), codes.ravel().astype("int64"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), lists], ["id", "vector", "codes"])
+
+    return run
+
+
+def hashed_cosine_topk(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    near: float = 0.9,
+    recall: float = 0.95,
+    bits: int = 8,
+    seed: int = 7,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """Approximate cosine neighbours by random hyperplanes: ``(query_id, item_id, score, rank)`` as ``cosine_topk``.
+
+    Scores are exact, but only items that share a signature with the query in one of the tables are compared. The number
+    of tables is chosen so that an item of cosine ``near`` is compared with chance ``recall``; nearer ones more often, farther
+    ones less, so a list may be short. Every vector travels once per table; a large bucket is cut into parts of
+    ``chunk_bytes`` and multiplied in slices, never as a list of pairs. Rows without a vector, and zero vectors, are left out.
+    """
+    tables = tables_for(near, recall, bits)
+    out = "id long, vector array<double>, codes array<long>"
+
+    def signed(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col("item_id").cast("long").alias("id"), as_doubles(F.col("embedding")).alias("vector"))
+        rows = rows.where(norm(F.col("vector")) > 0).select("id", unit(F.col("vector")).alias("vector"))
+        rows = rows.mapInArrow(_signatures(tables, bits, seed), out)
+        return rows.select("id", "vector", F.explode("codes").alias("_bucket"))
+
+    right = durable(signed(items))
+    parts = right.groupBy("_bucket").agg(F.ceil(F.sum(8 * F.size("vector")) / chunk_bytes).cast("int").alias("_parts"))
+    parts = durable(parts)
+    chunk = lambda part: (F.shiftleft("_bucket", 20) + part).alias("rc")
+    right = right.join(parts, "_bucket").select("id", "vector", chunk(F.pmod(F.xxhash64("id"), F.col("_parts"))))
+    rows = signed(queries).join(parts, "_bucket").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    rows = durable(rows.select("id", "vector", F.array("id").alias("hidden"), chunk(F.col("_part"))))
+    found = _product(rows, right, tables << bits, k, chunk_bytes)
+    best = found.groupBy(F.col("left_id").alias("query_id"), F.col("right_id").alias("item_id")).agg(F.max("score").alias("score"))
+    return ranked(best, k, keys=("query_id",))
+
+
 def history_state(history: DataFrame, item_vecs: DataFrame, n: int = 20, decay: float = 0.8, order_by=("ts", "k1", "k2", "item_id")) -> DataFrame:
     """User state from the last ``n`` items: mean of their vectors weighted by ``decay ** age``.
 

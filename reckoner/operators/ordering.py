@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +37,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def stage_owner(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the folders staged within the block when it ends, also after a failure.
+
+    Results must be read or written elsewhere inside the block: their plans read the staged tables. Blocks may be nested;
+    a folder belongs to the innermost one. Without a block the folders stay, as a result may still need them.
+    """
+    paths: list[str] = []
+    token = _owned.set(paths)
+    try:
+        yield paths
+    finally:
+        _owned.reset(token)
+        conf = spark._jsc.hadoopConfiguration()
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(path)
+    return path
 
 
 def at_least_partitions(df: DataFrame, n: int) -> DataFrame:

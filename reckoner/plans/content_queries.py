@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reckoner.functions.text import ENGLISH_STOP_WORDS, WORD_PATTERN
 from reckoner.functions.vectors import as_doubles
 from reckoner.operators import embeddings as emb, semantic_ids as sid, splitting, tokens as tok
-from reckoner.operators.dotscore import cosine_topk
+from reckoner.operators.dotscore import cosine_topk, hashed_cosine_topk
 from reckoner.operators.ordering import durable, scratch_path
 from reckoner.operators.popularity import popularity
 from reckoner.plans.registry import presented, query
@@ -77,6 +77,12 @@ def emb_05(fx: Fixtures) -> DataFrame:
     return presented(cosine_topk(vectors, vectors, 10))
 
 
+@query("emb_05_hashed_neighbours")
+def emb_05_hashed(fx: Fixtures) -> DataFrame:
+    vectors = fx.table("embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    return presented(hashed_cosine_topk(vectors, vectors, 10))
+
+
 STANDARD_SQL = """SELECT item_id, i - 1 AS dim, round((x - m) / (s + 1e-8::DOUBLE), 6) AS value
     FROM (SELECT item_id, unnest(range(1, 65)) AS i, unnest(v) AS x FROM z_emb) JOIN z_std_long USING (i)"""
 

@@ -159,7 +159,7 @@ def snk_03(fx: Fixtures) -> DataFrame:
 
     writers.save_results(tidy(split, "rows", F.count("*")), path)
     writers.save_results(tidy(split.where(F.col("split") == "test"), "users", F.count_distinct("user_id")), path)
-    return presented(fx.spark.read.parquet(path).select("split", "metric", "value"))
+    return presented(writers.load_results(fx.spark, path).select("split", "metric", "value"))
 
 
 @query(

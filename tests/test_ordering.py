@@ -3,10 +3,12 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import history
 from reckoner.operators import dimensions, ordering, sequences, splitting
+from reckoner.operators.ordering import durable, positions, shared_folder, stage_owner
 from reckoner.operators.semantic_ids import add_dedup_digit
 
 
@@ -55,6 +57,22 @@ def test_hot_user_sequence_continues_in_parts(spark):
     assert joined == expected
 
 
+def test_staged_folders_go_with_their_owner(spark):
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    rows = spark.createDataFrame([(i % 7, i) for i in range(50)], "k long, v long")
+    with stage_owner(spark) as outer:
+        kept = durable(rows)
+        with pytest.raises(ZeroDivisionError), stage_owner(spark):
+            assert positions(rows, ["k"], [F.col("v")]).count() == 50
+            raise ZeroDivisionError
+        assert set(os.listdir(folder)) - before == {os.path.basename(p) for p in outer}
+        assert kept.count() == 50
+    assert set(os.listdir(folder)) == before
+    durable(rows)
+    assert len(set(os.listdir(folder)) - before) == 1  # without an owner nothing is deleted
+
+
 def test_dense_ids_follow_key_order(spark):
     df = spark.createDataFrame([(f"k{i % 50:03d}",) for i in range(500)] + [(None,)], "key string")
     ids = {r["key"]: r["id"] for r in dimensions.dense_ids(df, "key", "id").collect()}

@@ -105,6 +105,30 @@ def test_short_vectors_are_not_visited(spark):
     assert sum(visited.values()) < 40 * 15 / 2
 
 
+@pytest.mark.parametrize("chunk_bytes", [8 * 24 * 10, 1 << 20])
+def test_hashed_neighbours_against_exact_lists(spark, chunk_bytes):
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(60, 24))
+    vectors = centres[rng.integers(0, 60, 600)] + 0.25 * rng.normal(size=(600, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, [0.0] * 24), (901, None)]
+    df = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    got = {}
+    for r in dotscore.hashed_cosine_topk(df, df, 8, near=0.85, recall=0.95, bits=6, chunk_bytes=chunk_bytes).collect():
+        got.setdefault(r["query_id"], {})[r["item_id"]] = r["score"]
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(scores, -2)
+    hits = total = 0
+    for u in range(600):
+        best = [i for i in sorted(range(600), key=lambda i: (-scores[u, i], i))[:8] if scores[u, i] >= 0.85]
+        hits, total = hits + sum(i in got.get(u, {}) for i in best), total + len(best)
+        assert all(abs(scores[u, i] - s) < 2e-6 for i, s in got.get(u, {}).items())
+        assert u not in got.get(u, {}) and len(got.get(u, {})) <= 8
+    assert total > 1000 and hits >= 0.95 * total
+    assert not {900, 901} & set(got)
+    assert dotscore.tables_for(0.9, 0.99, 8) > dotscore.tables_for(0.9, 0.9, 8) > dotscore.tables_for(0.99, 0.9, 8)
+
+
 def test_score_pairs(spark):
     rng = np.random.default_rng(6)
     left, right = rng.normal(size=(9, 3)), rng.normal(size=(8, 3))
