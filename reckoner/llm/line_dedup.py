@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reckoner.llm.common import document_key, shielded, stage, unshielded, with_fields
+from reckoner.llm.common import document_key, shielded, small, stage, unshielded, with_fields
 
 # Fixed value: the characters stripped from both ends of a line, [\x20\x09-\x0D].
 LINE_SPACE = b" \t\n\x0b\x0c\r"
@@ -71,7 +71,8 @@ def line_dedup(
 
     Every task hashes the lines of its documents (128 bits), one row per document and key. The document count of a key
     is a two-step count, (key, document) and then key, so a line in every document is summed from partial counts.
-    Only (document, key) rows of frequent keys come back; they meet the texts by document, never by line, so the one
+    Frequent keys are sent to every task if they are counted to be few, so their rows stay where they lie; otherwise the
+    two are joined by key and Spark splits skewed partitions. Only (document, key) rows of frequent keys come back; they meet the texts by document, never by line, so the one
     join of texts is on an even key.
 
     Null and empty texts are one empty line; their text becomes empty. Rows that repeat an id are one document for the
@@ -85,8 +86,8 @@ def line_dedup(
     docs = docs.withColumn("_doc", document_key(id_col, text_col))
     keys = docs.select("_doc", F.col(text_col).cast("string").alias("_text"))
     pairs = stage(keys.mapInArrow(partial(_hash_lines, min_chars=min_chars), "_doc string, _line binary").distinct())
-    frequent = pairs.groupBy("_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).select("_line")
-    drops = pairs.join(frequent, "_line").groupBy("_doc").agg(F.collect_set("_line").alias("_drops"))
+    frequent = stage(pairs.groupBy("_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).select("_line"))
+    drops = pairs.join(small(frequent), "_line").groupBy("_doc").agg(F.collect_set("_line").alias("_drops"))
     joined = docs.join(drops, "_doc", "left").select(*columns, "_drops").withColumn(text_col, F.col(text_col).cast("string"))
     plain = docs.select(*columns).withColumn(text_col, F.lit("")).schema
     out = with_fields(plain, _n_lines=T.LongType(), _n_dropped=T.LongType())
