@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from reckoner.functions.scalars import micros
 from reckoner.functions.vectors import as_doubles, unit
 from reckoner.operators.dotscore import score_listed
-from reckoner.operators.ordering import scalar
+from reckoner.operators.ordering import durable, scalar
+from reckoner.operators.quantiles import counted_quantiles, value_counts
 from reckoner.operators.sequences import history_counts, user_profiles
 
 # Names and order of the ranking features.
@@ -30,16 +31,19 @@ def item_popularity(train: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def item_prices(train: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Median price per item, the row-weighted global median where there is none, and a flag.
+def price_medians(train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(item_id, _price)`` and one row ``price`` over all rows, from one count of the prices; exact for any number of them."""
+    counts = durable(value_counts(train, ["item_id"], "unit_price"))
+    overall = counts.groupBy("value").agg(F.sum("n").alias("n"))
+    return counted_quantiles(counts, ["item_id"], {"_price": 0.5}), counted_quantiles(overall, [], {"price": 0.5})
+
 
-    A median's state is the set of distinct prices, not the rows, so a hot item stays small.
-    """
-    medians = train.groupBy("item_id").agg(F.median("unit_price").alias("_price"))
-    overall = train.agg(F.median("unit_price").alias("m"))
+def item_prices(train: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Median price per item, the row-weighted global median where there is none, and a flag."""
+    medians, overall = price_medians(train)
     return catalog.select("item_id").join(medians, "item_id", "left").select(
         "item_id",
-        F.coalesce("_price", scalar(overall, "m")).alias("item_price_imputed"),
+        F.coalesce("_price", scalar(overall, "price")).alias("item_price_imputed"),
         F.col("_price").isNotNull().cast("int").alias("has_price"),
     )
 
@@ -57,22 +61,20 @@ def item_recency(train: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def item_features(train: DataFrame, catalog: DataFrame) -> DataFrame:
-    """All item features, one row per catalogue item, from a single aggregation of the train rows."""
+    """All item features, one row per catalogue item."""
     us = micros(F.col("ts"))
     stats = train.agg(
         F.min(us).alias("lo"),
         F.greatest(F.max(us) - F.min(us), F.lit(1)).alias("span"),
         F.avg(us).alias("mean"),
-        F.median("unit_price").alias("price"),
-    )
-    per_item = train.groupBy("item_id").agg(
-        F.count("*").alias("_n"), F.median("unit_price").alias("_price"), F.avg(us).alias("_mean")
     )
+    medians, overall = price_medians(train)
+    per_item = train.groupBy("item_id").agg(F.count("*").alias("_n"), F.avg(us).alias("_mean")).join(medians, "item_id", "left")
     recency = (F.coalesce("_mean", scalar(stats, "mean")) - scalar(stats, "lo")) / scalar(stats, "span")
     return catalog.select("item_id").join(per_item, "item_id", "left").select(
         "item_id",
         F.log1p(F.coalesce("_n", F.lit(0)).cast("double")).alias("item_popularity_log"),
-        F.coalesce("_price", scalar(stats, "price")).alias("item_price_imputed"),
+        F.coalesce("_price", scalar(overall, "price")).alias("item_price_imputed"),
         F.col("_price").isNotNull().cast("int").alias("has_price"),
         recency.alias("item_recency_norm"),
     )

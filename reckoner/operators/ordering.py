@@ -72,14 +72,15 @@ def at_least_partitions(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Write the table to the shared folder and read it back.
 
     Cuts lineage, survives lost executors, and fixes partition-dependent values for good. Unlike a checkpoint the
-    result keeps column pruning and its true size, so later joins can choose a broadcast by size.
+    result keeps column pruning and its true size, so later joins can choose a broadcast by size. With ``rows_per_file`` a
+    task's rows go into several files of at most so many.
     """
     path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

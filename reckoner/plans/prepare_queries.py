@@ -22,6 +22,20 @@ def src_01(fx: Fixtures) -> DataFrame:
     return presented(readers.read_ratings(fx.spark, path, partitions=fx.spark.sparkContext.defaultParallelism))
 
 
+@query(
+    "src_01_row_order",
+    """SELECT user_id, parent_asin, rating, "timestamp",
+       row_number() OVER (ORDER BY user_id NULLS FIRST, parent_asin, "timestamp", rating) - 1 AS row_order FROM z_ratings""",
+)
+def src_01_row_order(fx: Fixtures) -> DataFrame:
+    path = scratch_path(fx.spark, "ratings")
+    order = ["user_id", "parent_asin", "timestamp", "rating"]
+    rows = fx.raw_ratings().select("user_id", "parent_asin", "rating", "timestamp")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.option("header", True).option("compression", "gzip").csv(path)
+    return presented(readers.staged_in_file_order(readers.read_ratings(fx.spark, path)).drop("source_file", "row_in_file"))
+
+
 def _metadata_files(fx: Fixtures) -> str:
     path = scratch_path(fx.spark, "meta")
     fx.raw_meta().write.option("compression", "gzip").json(path)
@@ -228,7 +242,10 @@ def cln_07(fx: Fixtures) -> DataFrame:
     return cleaning.fill_titles(cleaning.fill_titles(meta, "title"), "embedding_input", "")
 
 
-@query("cln_08_ordered_layout")
+@query(
+    "cln_08_ordered_layout",
+    "SELECT user_id, item_id, invoice_id, quantity, round(unit_price, 6) AS unit_price, us AS ts, k1, k2 FROM z_inter",
+)
 def cln_08(fx: Fixtures) -> DataFrame:
     return presented(cleaning.ordered_layout(fx.interactions()))
 
