@@ -56,6 +56,11 @@ def stable_score(score: Column) -> Column:
     return F.round(score, SCORE_DIGITS)
 
 
+def significant_score(score: Column) -> Column:
+    """Score to the 24 bits of a float: equal candidates tie at any magnitude, and small scores keep their order."""
+    return score.cast("float").cast("double")
+
+
 def sample_key(seed: int, key: Column) -> Column:
     """Repeatable pseudo-random sort key that any engine with md5 can reproduce."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

@@ -136,9 +136,10 @@ def emb_10(fx: Fixtures) -> DataFrame:
     return presented(emb.row_cosines(live, centred))
 
 
-def codebooks_of(fx: Fixtures) -> DataFrame:
+def codebooks_of(fx: Fixtures, vectors: DataFrame | None = None) -> DataFrame:
     """Codebooks of group means over all vectors: by label, and by 16 and 8 ranges of the vector id."""
-    vectors = fx.table("embeddings").select("vec_id", "label", array_to_vector(as_doubles(F.col("embedding"))).alias("v"))
+    vectors = fx.table("embeddings") if vectors is None else vectors
+    vectors = vectors.select("vec_id", "label", array_to_vector(as_doubles(F.col("embedding"))).alias("v"))
     n = vectors.agg(F.count("*").alias("n")).scalar()
     groups = F.array(
         F.struct(F.lit(1).alias("level"), F.col("label").cast("int").alias("code")),
@@ -271,22 +272,24 @@ def sid_08_members(fx: Fixtures) -> DataFrame:
 @query(
     "sid_09_cold_items",
     """WITH warm AS (SELECT DISTINCT item_id FROM z_train),
-       ids AS (SELECT s.*, w.item_id IS NOT NULL AS known,
+       ids AS (SELECT s.item_id, c1, c2, c3, w.item_id IS NOT NULL AS known,
          row_number() OVER (PARTITION BY c1, c2, c3, w.item_id IS NOT NULL ORDER BY s.item_id) - 1 AS pos,
-         count(w.item_id) OVER (PARTITION BY c1, c2, c3) AS n_known FROM z_sid s LEFT JOIN warm w USING (item_id))
+         count(w.item_id) OVER (PARTITION BY c1, c2, c3) AS n_known FROM z_item_vec s JOIN z_q_three_scaled USING (vec_id)
+         LEFT JOIN warm w USING (item_id))
        SELECT item_id, c1 AS sid_level_1, c2 AS sid_level_2, c3 AS sid_level_3, pos + n_known AS sid_dedup FROM ids WHERE NOT known""",
 )
 def sid_09(fx: Fixtures) -> DataFrame:
     known = train_of(fx).select("item_id").distinct()
-    vectors, books = fx.item_embeddings(), codebooks_of(fx)
-    # Neutral statistics: the test codebooks live in the space of the raw vectors.
-    dims = vectors.agg(F.max(F.size("embedding")).alias("d"))
-    neutral = dims.select(
-        F.array_repeat(F.lit(0.0), F.col("d")).alias("mean"), F.array_repeat(F.lit(1.0 - emb.EPSILON), F.col("d")).alias("std")
-    )
-    taken = sid.add_dedup_digit(sid.semantic_ids(sid.quantise(vectors.join(known, "item_id", "left_semi"), books), LEVELS))
+    vectors = durable(fx.item_embeddings())
+    warm = vectors.join(known, "item_id", "left_semi")
+    stats = durable(emb.standardisation_stats(warm))
+    books = durable(codebooks_of(fx, emb.apply_standardisation(fx.table("embeddings"), stats)))
+    taken = sid.add_dedup_digit(sid.semantic_ids(sid.quantise(emb.apply_standardisation(warm, stats), books), LEVELS))
+    path = scratch_path(fx.spark, "chain")
+    writers.save_tables({"statistics": stats, "codebooks": books, "taken": taken}, path)
+    saved = writers.load_tables(fx.spark, path, ["statistics", "codebooks", "taken"])
     cold = vectors.join(known, "item_id", "left_anti")
-    return presented(sid.cold_item_ids(cold, neutral, books, LEVELS, taken))
+    return presented(sid.cold_item_ids(cold, saved["statistics"], saved["codebooks"], LEVELS, saved["taken"]))
 
 
 @query("tok_01_item_tokens", "SELECT item_id, tok1, tok2, tok3, tok4 FROM z_tok")

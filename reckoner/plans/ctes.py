@@ -192,29 +192,42 @@ cte(
     "z_vec",
     """SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, (SELECT count(*) FROM embeddings) AS n FROM embeddings""",
 )
-cte("z_item_vec", "SELECT p_partkey AS item_id, p_partkey % (SELECT count(*) FROM embeddings) AS vec_id FROM part")
+# Vectors scaled by the statistics of the items that were sold in the training span.
 cte(
-    "z_book_groups",
-    """SELECT 1 AS level, CAST(label AS BIGINT) AS code, v FROM z_vec
-       UNION ALL SELECT 2, vec_id * 16 // n, v FROM z_vec UNION ALL SELECT 3, vec_id * 8 // n, v FROM z_vec""",
+    "z_frozen_std",
+    """SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM (
+         SELECT unnest(range(1, 65)) AS i, unnest(v) AS x FROM z_emb WHERE item_id IN (SELECT item_id FROM z_train)) GROUP BY i)""",
 )
 cte(
-    "z_book",
-    """SELECT level, code, list(m ORDER BY i) AS c FROM (SELECT level, code, i, avg(x) AS m FROM (
-         SELECT level, code, unnest(range(1, 65)) AS i, unnest(v) AS x FROM z_book_groups) GROUP BY level, code, i)
-       GROUP BY level, code""",
+    "z_vec_scaled",
+    """SELECT vec_id, label, list_transform(list_zip(v, s.m, s.s), lambda z: (z[1] - z[2]) / (z[3] + 1e-8::DOUBLE)) AS v, n
+       FROM z_vec CROSS JOIN z_frozen_std s""",
 )
-_PREVIOUS = {1: "z_vec", 2: "z_q_one", 3: "z_q_two"}
-for _level, _name in ((1, "z_q_one"), (2, "z_q_two"), (3, "z_q_three")):
-    _kept = "".join(f", c{j}, d{j}" for j in range(1, _level))
-    _vector = "v" if _level == 1 else "r"
+cte("z_item_vec", "SELECT p_partkey AS item_id, p_partkey % (SELECT count(*) FROM embeddings) AS vec_id FROM part")
+for _end in ("", "_scaled"):
     cte(
-        _name,
-        f"""SELECT vec_id, list_transform(list_zip({_vector}, c), lambda z: z[1] - z[2]) AS r{_kept},
-            code AS c{_level}, d * d AS d{_level} FROM (
-              SELECT q.*, b.code, b.c, list_distance(q.{_vector}, b.c) AS d FROM {_PREVIOUS[_level]} q JOIN z_book b ON b.level = {_level})
-            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, code) = 1""",
+        f"z_book_groups{_end}",
+        f"""SELECT 1 AS level, CAST(label AS BIGINT) AS code, v FROM z_vec{_end}
+           UNION ALL SELECT 2, vec_id * 16 // n, v FROM z_vec{_end} UNION ALL SELECT 3, vec_id * 8 // n, v FROM z_vec{_end}""",
+    )
+    cte(
+        f"z_book{_end}",
+        f"""SELECT level, code, list(m ORDER BY i) AS c FROM (SELECT level, code, i, avg(x) AS m FROM (
+             SELECT level, code, unnest(range(1, 65)) AS i, unnest(v) AS x FROM z_book_groups{_end}) GROUP BY level, code, i)
+           GROUP BY level, code""",
     )
+    _previous = f"z_vec{_end}"
+    for _level, _name in ((1, f"z_q_one{_end}"), (2, f"z_q_two{_end}"), (3, f"z_q_three{_end}")):
+        _kept = "".join(f", c{j}, d{j}" for j in range(1, _level))
+        _vector = "v" if _level == 1 else "r"
+        cte(
+            _name,
+            f"""SELECT vec_id, list_transform(list_zip({_vector}, c), lambda z: z[1] - z[2]) AS r{_kept},
+                code AS c{_level}, d * d AS d{_level} FROM (
+                  SELECT q.*, b.code, b.c, list_distance(q.{_vector}, b.c) AS d FROM {_previous} q JOIN z_book{_end} b ON b.level = {_level})
+                QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, code) = 1""",
+        )
+        _previous = _name
 cte(
     "z_sid",
     """SELECT i.item_id, q.c1, q.c2, q.c3, q.d1, q.d2, q.d3, q.r,

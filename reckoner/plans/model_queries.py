@@ -101,13 +101,13 @@ def ret_12(fx: Fixtures) -> DataFrame:
     "ret_12_transition_topk",
     f"""WITH w AS (SELECT user_id, item_id, sum(pow(0.8::DOUBLE, rn - 1)) AS w FROM (SELECT user_id, item_id, row_number() OVER (
            PARTITION BY user_id ORDER BY us DESC, k1 DESC, k2 DESC, item_id DESC) AS rn FROM z_train QUALIFY rn <= 5) GROUP BY user_id, item_id),
-       s AS (SELECT w.user_id, t.next_item AS item_id, round(sum(w.w * t.probability), 6) AS score
+       s AS (SELECT w.user_id, t.next_item AS item_id, CAST(CAST(sum(w.w * t.probability) AS FLOAT) AS DOUBLE) AS score
              FROM w JOIN ({TRANSITIONS_SQL}) t USING (item_id) GROUP BY w.user_id, t.next_item),
        own AS (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s
          WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM z_seen) QUALIFY rank <= 20),
        tiers AS (SELECT user_id, item_id, score, rank, 0 AS tier FROM own UNION ALL SELECT user_id, item_id, score, rank, 1 FROM z_pop_recs),
        firsts AS (SELECT * FROM tiers QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY tier, rank) = 1)
-       SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY tier, rank) AS rank FROM firsts
+       SELECT user_id, item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY tier, rank) AS rank FROM firsts
        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY tier, rank) <= 20""",
 )
 def ret_12_topk(fx: Fixtures) -> DataFrame:

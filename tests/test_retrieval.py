@@ -171,19 +171,53 @@ def test_transition_probabilities_sum_to_one(spark):
     assert all(abs(r[1] - 1) < 1e-9 for r in t.groupBy("item_id").agg(F.sum("probability")).collect())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_transition_threshold_way_is_exact(spark, seed):
+def _transition_lists(rows, seen, k):
+    """Every user's top k by first principles, with scores."""
+    users, counts = {}, {}
+    for u, i, _ in rows:
+        users.setdefault(u, []).append(i)
+    for items in users.values():
+        for a, b in zip(items, items[1:]):
+            counts.setdefault(a, {}).setdefault(b, 0)
+            counts[a][b] += 1
+    out = {}
+    for u, items in users.items():
+        scores = {}
+        for age, a in enumerate(items[::-1][: tr.LAST_ITEMS]):
+            for b, n in counts.get(a, {}).items():
+                scores[b] = scores.get(b, 0.0) + tr.DECAY**age * n / sum(counts[a].values())
+        kept = [(-float(np.float32(s)), b) for b, s in scores.items() if (u, b) not in seen]
+        out[u] = [(b, -s) for s, b in sorted(kept)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("seed, first_depth", [(1, 1), (2, 3), (1, None)])
+def test_transition_rounds_are_exact(spark, seed, first_depth):
     rng = random.Random(seed)
     # item 0 is a third of all rows, so its successor list is long
     rows = [(rng.randrange(12), 0 if rng.random() < 0.34 else min(rng.randrange(40), rng.randrange(40)), t) for t in range(900)]
     df = history(spark, rows)
     seen = df.where("k1 < 500").select("user_id", "item_id").distinct().where("item_id < 12")
     nobody = spark.createDataFrame([], "user_id long, item_id long, score double, rank int")
-    transitions = tr.fit_transitions(df)
-    whole = tr.transition_topk(df, transitions, seen, nobody, 6)
-    cut = tr.transition_topk(df, transitions, seen, nobody, 6, long_list=5)
-    assert _by_user(whole, "item_id", "score") == _by_user(cut, "item_id", "score")
-    assert len(_by_user(whole, "item_id")) == 12
+    got = _by_user(tr.transition_topk(df, tr.fit_transitions(df), seen, nobody, 6, first_depth), "item_id", "score")
+    wanted = _transition_lists(rows, {tuple(r) for r in seen.collect()}, 6)
+    assert {u: [i for i, _ in entries] for u, entries in got.items()} == {u: [i for i, _ in entries] for u, entries in wanted.items()}
+    for u, entries in got.items():
+        assert [s for _, s in entries] == pytest.approx([s for _, s in wanted[u]], rel=1e-6)
+
+
+def test_transition_lists_are_not_opened_whole(spark, monkeypatch):
+    """A list of 3,000 falling probabilities below one millionth of the first: ranks follow them, and few entries are read."""
+    lists = spark.range(3000).selectExpr("7L as item_id", "id as next_item", "1L as n", "pow(0.99D, id) * 1e-9 as probability")
+    df = history(spark, [(1, 7, 1), (2, 7, 1)])
+    seen = spark.range(40).selectExpr("2L as user_id", "id as item_id")
+    nobody = spark.createDataFrame([], "user_id long, item_id long, score double, rank int")
+    depths = []
+    opened = tr._opened_to
+    monkeypatch.setattr(tr, "_opened_to", lambda active, lists, seen, k, depth: depths.append((depth, active.count())) or opened(active, lists, seen, k, depth))
+    got = _by_user(tr.transition_topk(df, lists, seen, nobody, 5), "item_id")
+    assert got == {1: [0, 1, 2, 3, 4], 2: [40, 41, 42, 43, 44]}
+    assert depths == [(20, 2), (80, 1)]  # the user who has seen 40 entries goes on alone
 
 
 @pytest.fixture(scope="module")
