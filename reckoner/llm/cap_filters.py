@@ -16,7 +16,9 @@ from reckoner.llm.components import components
 THRESHOLD = 0.93
 CODES = 12  # independent codes, each with its own rotation
 CODEWORDS = 128  # in each of the two parts of a code: CODEWORDS ** 2 filters
-CAP = 3.5  # a vector passes a filter whose inner product is this many standard deviations of a random one
+CAP = 3.5  # a vector passes a filter whose inner product is this many standard deviations of a random one, at most
+RECALL = 0.985  # share of pairs at exactly the threshold that are to meet; the cap falls until random pairs do
+_TRIALS, _STEP = 1_000, 0.1
 BLOCK_ROWS = 512
 _SMALL_GROUP = 48
 _PAIRS = 20_000
@@ -29,8 +31,37 @@ def _code(number: int, dims: int, codewords: int) -> tuple[np.ndarray, np.ndarra
     draw = np.random.default_rng([41, number, dims])
     rotation, _ = np.linalg.qr(draw.standard_normal((dims, dims)))
     cut = (dims + 1) // 2
-    parts = [draw.standard_normal((codewords, max(d, 1))) for d in (cut, dims - cut)]
-    return rotation, *(p / np.linalg.norm(p, axis=1, keepdims=True) for p in parts)
+    return rotation, *(_codewords(draw, d, codewords) for d in (cut, dims - cut))
+
+
+def _codewords(draw: np.random.Generator, dims: int, n: int) -> np.ndarray:
+    """Unit codewords of one part. A part of few dimensions has room for few: two in one dimension, 16 in two, 64 in three."""
+    if dims <= 1:
+        return np.array([[1.0], [-1.0]])
+    words = draw.standard_normal((min(n, 4**dims), dims))
+    return words / np.linalg.norm(words, axis=1, keepdims=True)
+
+
+@lru_cache(maxsize=256)
+def cap_for(dims: int, threshold: float, codes: int, codewords: int, cap: float, recall: float = RECALL) -> float:
+    """The largest cap, from ``cap`` down in steps, with which seeded random pairs at the threshold meet often enough.
+
+    Short vectors and low thresholds need wider caps. At a cap of zero every vector passes about half of all filters.
+    """
+    if dims < 2:
+        return cap
+    draw = np.random.default_rng([43, dims])
+    a, b = draw.standard_normal((2, _TRIALS, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = threshold * a + np.sqrt(max(1 - threshold**2, 0.0)) * b
+    while cap > 0:
+        lists = (decode(x, codes, codewords, cap) for x in (a, b))
+        if np.mean([len(np.intersect1d(x, y, assume_unique=True)) > 0 for x, y in zip(*lists)]) >= recall:
+            break
+        cap = round(cap - _STEP, 6)
+    return max(cap, 0.0)
 
 
 def decode(vectors: np.ndarray, codes: int, codewords: int, cap: float) -> list[np.ndarray]:
@@ -49,7 +80,7 @@ def decode(vectors: np.ndarray, codes: int, codewords: int, cap: float) -> list[
         rotation, first, second = _code(number, dims, codewords)
         turned = vectors @ rotation
         left = turned[:, :cut] @ first.T
-        right = turned[:, cut:] @ second.T if dims > cut else np.zeros((len(vectors), codewords))
+        right = turned[:, cut:] @ second.T if dims > cut else np.zeros((len(vectors), len(second)))
         tops = left.max(axis=1), right.max(axis=1)
         nearest[:, number] = (number * codewords + left.argmax(axis=1)) * codewords + right.argmax(axis=1)
         for row in np.flatnonzero(tops[0] + tops[1] >= limit).tolist():
@@ -64,7 +95,9 @@ def decode(vectors: np.ndarray, codes: int, codewords: int, cap: float) -> list[
     return [np.unique(np.concatenate(parts)) for parts in found]
 
 
-def _add_filters(batches: Iterator[pa.RecordBatch], at: int, codes: int, codewords: int, cap: float) -> Iterator[pa.RecordBatch]:
+def _add_filters(
+    batches: Iterator[pa.RecordBatch], at: int, threshold: float, codes: int, codewords: int, cap: float
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = batch.column(at).to_pylist()
         lengths = np.array([len(v) for v in vectors])
@@ -74,8 +107,9 @@ def _add_filters(batches: Iterator[pa.RecordBatch], at: int, codes: int, codewor
             x = np.array([vectors[r] for r in rows], dtype=np.float64).reshape(len(rows), dims)
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
+            own = cap_for(dims, threshold, codes, codewords, cap)
             for start in range(0, len(rows), 2048):
-                for r, f in zip(rows[start : start + 2048], decode(x[start : start + 2048], codes, codewords, cap)):
+                for r, f in zip(rows[start : start + 2048], decode(x[start : start + 2048], codes, codewords, own)):
                     filters[r] = f
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(filters, pa.list_(pa.int64()))], [*batch.schema.names, "_filters"])
 
@@ -231,7 +265,8 @@ def near_vectors(
     Equal vectors of one label are one node with a number of copies, whose rows link to each other. A node is decoded to
     all filters within its cap; nodes meet by (label, length, filter). A bucket of many nodes is dealt into blocks that
     meet in pairs. A pair that shares several filters is counted at the smallest. Of a group only counts for each node and
-    a spanning forest come out, never its pairs.
+    a spanning forest come out, never its pairs. The cap falls below ``cap`` where the length of the vectors or the threshold
+    ask for it, so that a pair at exactly the threshold meets with a chance of ``RECALL``.
 
     Null labels, and vectors that are null, empty, zero or hold null or non-finite parts, link with nothing: they keep
     their own id as component. Vectors of different lengths do not link. Rows that repeat an id are rows of their own;
@@ -250,7 +285,7 @@ def near_vectors(
     rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()))
     same = rows.where("_v is not null").groupBy("_label", "_v")
     nodes = stage(same.agg(F.min("_row").alias("_node"), F.count("*").alias("_copies"), F.min("_id").alias("_low")))
-    add = partial(_add_filters, at=1, codes=codes, codewords=codewords, cap=cap)
+    add = partial(_add_filters, at=1, threshold=threshold, codes=codes, codewords=codewords, cap=cap)
     kinds = "_label string, _v array<double>, _node long, _copies long"
     decoded = nodes.select("_label", "_v", "_node", "_copies").mapInArrow(add, f"{kinds}, _filters array<long>")
     decoded = stage(decoded.withColumn("_dims", F.size("_v")))

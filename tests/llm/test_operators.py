@@ -274,6 +274,36 @@ def test_default_filters_leave_no_vector_out():
     assert min(map(len, lists)) >= cap_filters.CODES
 
 
+@pytest.mark.parametrize("dims, threshold", [(2, 0.93), (3, 0.93), (4, 0.93), (8, 0.93), (16, 0.93), (32, 0.93), (32, 0.85)])
+def test_caps_follow_length_and_threshold(dims, threshold):
+    a, b = near_pairs(dims, 400, threshold)
+    cap = cap_filters.cap_for(dims, threshold, cap_filters.CODES, cap_filters.CODEWORDS, cap_filters.CAP)
+    lists = [cap_filters.decode(x, cap_filters.CODES, cap_filters.CODEWORDS, cap) for x in (a, b)]
+    assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(*lists)]) >= 0.96
+
+
+def test_long_vectors_keep_the_stated_cap():
+    assert cap_filters.cap_for(64, 0.93, cap_filters.CODES, cap_filters.CODEWORDS, cap_filters.CAP) == cap_filters.CAP
+
+
+def test_default_links_of_short_and_long_vectors(spark):
+    rng = np.random.default_rng(31)
+    rows = []
+    for dims in (1, 4, 8, 64):
+        a, b = near_pairs(max(dims, 2), 40, 0.94)
+        rows += [v[:dims].tolist() for v in (*a, *b)]
+    order = rng.permutation(len(rows))
+    df = spark.createDataFrame([(int(i), rows[i]) for i in order], "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
+    got = {r["vec_id"]: r["n_links"] for r in cap_filters.near_vectors(df).collect()}
+    wanted = {}
+    for i, x in enumerate(rows):
+        near = [j for j, y in enumerate(rows) if i != j and len(x) == len(y) and np.dot(x, y) >= 0.93 * np.linalg.norm(x) * np.linalg.norm(y)]
+        wanted[i] = len(near)
+    assert all(got[i] <= n for i, n in wanted.items())
+    assert sum(got.values()) >= 0.97 * sum(wanted.values())
+    assert all(got[i] == wanted[i] for i in range(80))  # one dimension: equal directions
+
+
 # --- n-grams
 
 
