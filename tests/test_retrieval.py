@@ -327,3 +327,9 @@ def test_listed_pairs_keep_their_columns(spark):
             dot = pytest.approx(left[a] @ right[b]) if a < 5 and b < 30 else None
             assert got[a, b] == (v, s, dot)
     assert dotscore.score_listed(frame(left), frame(right), df.where("false")).collect() == []
+
+
+def test_blocks_of_the_factorisation_follow_the_ratings(spark):
+    """Every block gets nearly all factors of the other side, so their number must not follow the cores."""
+    assert factors._blocks(0) == factors._blocks(29_000_000) == factors.FEWEST_BLOCKS < 10
+    assert factors._blocks(100 * factors.BLOCK_RATINGS) == 100
