@@ -329,6 +329,47 @@ def test_listed_pairs_keep_their_columns(spark):
     assert dotscore.score_listed(frame(left), frame(right), df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e200])
+def test_blocked_product_equals_the_full_one(scale):
+    """Tiles and floors: many equal scores, hidden cells, rows with a given floor, and numbers beyond single precision."""
+    rng = np.random.default_rng(5)
+    left, right = np.round(rng.normal(size=(40, 6)), 1), np.round(rng.normal(size=(30, 6)), 1)[rng.integers(0, 30, 3000)]
+    left[0], right[0] = 0.0, 0.0
+    if scale > 1:
+        left[1], right[:2] = left[1] / scale, right[:2] * scale
+    hidden_rows = np.repeat(np.arange(40), 50)
+    hidden_cols = np.concatenate([rng.choice(3000, 50, replace=False) for _ in range(40)])
+    full = np.round(left @ right.T, 6) + 0.0
+    full[hidden_rows, hidden_cols] = -np.inf
+    floors = np.where(np.arange(40) % 2 == 0, -np.inf, np.sort(full, axis=1)[:, -4])
+    expected = []
+    for i in range(40):
+        best = [c for c in np.lexsort((np.arange(3000), -full[i])) if np.isfinite(full[i, c]) and full[i, c] >= floors[i]][:7]
+        expected += [(i, c) for c in best]
+    old_cells, dotscore.TILE_CELLS = dotscore.TILE_CELLS, 4_000
+    try:
+        rows, cols, scores = dotscore._block_topk(left, right, floors, (hidden_rows, hidden_cols), 7)
+    finally:
+        dotscore.TILE_CELLS = old_cells
+    assert sorted(zip(rows.tolist(), cols.tolist())) == sorted(expected)
+    assert np.allclose(scores, full[rows, cols])
+
+
+def test_later_chunks_return_only_what_reaches_the_floor(spark):
+    """A later chunk gives no row that the first chunk's k-th score already shuts out."""
+    rng = np.random.default_rng(6)
+    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")
+    left, right = rng.normal(size=(50, 4)), rng.normal(size=(400, 4))
+    nothing = spark.createDataFrame([], "id long, other long")
+    found = dotscore.blocked_topk(frame(left), frame(right), nothing, 5, chunk_bytes=8 * 4 * 40).collect()
+    chunks = 10
+    assert len(found) < 50 * 5 * 3 < 50 * 5 * chunks
+    full = np.round(left @ right.T, 6)
+    for i in range(50):
+        got = sorted((-r["score"], r["right_id"]) for r in found if r["left_id"] == i)[:5]
+        assert [c for _, c in got] == np.lexsort((np.arange(400), -full[i]))[:5].tolist()
+
+
 def test_blocks_of_the_factorisation_follow_the_ratings(spark):
     """Every block gets nearly all factors of the other side, so their number must not follow the cores."""
     assert factors._blocks(0) == factors._blocks(29_000_000) == factors.FEWEST_BLOCKS < 10
