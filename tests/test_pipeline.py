@@ -150,3 +150,19 @@ def test_svd_keeps_inner_products(spark):
     assert explained == pytest.approx(1.0, abs=1e-6)
     norms = vectors.select(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)).collect()
     assert all(r[0] == pytest.approx(1.0, abs=1e-6) for r in norms)
+
+
+def test_interactions_are_staged_once_per_query_and_block(spark, fx):
+    """Bounds, train and targets of one query read one table; a block that deletes its stages leaves none behind."""
+    from reckoner.operators.ordering import stage_owner
+    from reckoner.plans.retrieval_queries import targets_of
+    from reckoner.plans.sequence_queries import train_of
+    from reckoner.sources.fixtures import Fixtures
+
+    own = Fixtures(spark, fx.folder)
+    with stage_owner(spark) as paths:
+        assert targets_of(own).count() and train_of(own).count()
+        assert len(paths) == 1
+    plan = train_of(own)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert own.staged_interactions().count() == fx.interactions().count()
