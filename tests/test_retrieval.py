@@ -374,3 +374,24 @@ def test_blocks_of_the_factorisation_follow_the_ratings(spark):
     """Every block gets nearly all factors of the other side, so their number must not follow the cores."""
     assert factors._blocks(0) == factors._blocks(29_000_000) == factors.FEWEST_BLOCKS < 10
     assert factors._blocks(100 * factors.BLOCK_RATINGS) == 100
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 20, 8 * 3 * 7])
+def test_weighted_means_move_no_vector_per_row(spark, chunk_bytes):
+    """Repeated items and rows, null ids, items without a vector; one chunk and many."""
+    rng = np.random.default_rng(8)
+    vectors = [(i % 25, rng.normal(size=3).tolist()) for i in range(30)] + [(40, None), (None, [1.0, 1.0, 1.0])]
+    rows = [(int(u) if u else None, int(i), float(w)) for u, i, w in zip(rng.integers(0, 9, 300), rng.integers(0, 35, 300), rng.integers(1, 4, 300))]
+    rows += [(50, 34, 1.0), (50, 40, 1.0), (51, None, 1.0)]
+    right = spark.createDataFrame(vectors, "id long, vector array<float>")
+    got = dotscore.weighted_means(spark.createDataFrame(rows, "id long, other long, weight double"), right, chunk_bytes).collect()
+    expected = {}
+    for u, i, w in rows:
+        for j, v in vectors:
+            if i is not None and i == j and v is not None:
+                total = expected.setdefault(u, [np.zeros(3), 0.0])
+                total[0] += w * np.array(v, dtype="float32").astype(float)
+                total[1] += w
+    assert len(got) == len(expected) and None in expected and 50 not in expected
+    for r in got:
+        assert np.allclose(r["vector"], expected[r["id"]][0] / expected[r["id"]][1])
