@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from reckoner.operators import embeddings as emb
@@ -38,3 +39,21 @@ def test_tfidf_joins_rows_of_an_id_and_counts_those_without(spark):
     rows = [(i % 5, f"red{i % 3} blue{i % 2} stone") for i in range(9)] + [(7, "stone red1"), (None, "stone blue1"), (None, "grey stone")]
     found = {(r["id"], r["term"]): r["weight"] for r in emb.tfidf(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
     assert found == pytest.approx(_expected(rows))
+
+
+def test_svd_takes_few_passes_over_the_rows(spark, monkeypatch):
+    random = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in random.zipf(1.5, 30) % 120) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    weights = emb.tfidf(docs, "id", "text", max_features=400).localCheckpoint()
+    passes, times = [], emb._gram_times
+    monkeypatch.setattr(emb, "_gram_times", lambda *args: passes.append(1) or times(*args))
+    vectors, _ = emb.truncated_svd(weights, "id", 8, docs)
+    rows = weights.collect()
+    terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+    dense = np.zeros((150, len(terms)))
+    for r in rows:
+        dense[r["id"], terms[r["term"]]] = r["weight"]
+    found = np.array([r["embedding"] for r in vectors.orderBy("id").collect()])
+    assert len(passes) <= 12
+    assert np.linalg.norm(found, axis=0) == pytest.approx(np.linalg.svd(dense)[1][:8], rel=1e-4)
