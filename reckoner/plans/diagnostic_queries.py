@@ -49,7 +49,7 @@ def dia_02(fx: Fixtures) -> DataFrame:
        FROM z_pop_recs""",
 )
 def dia_03(fx: Fixtures) -> DataFrame:
-    loo = splitting.loo_split(fx.interactions())
+    loo = splitting.loo_split(fx.staged_interactions())
     return presented(dia.percent_cold(popularity_recs(fx), loo.where(F.col("split") == "train")))
 
 
@@ -59,7 +59,7 @@ def dia_03(fx: Fixtures) -> DataFrame:
        FROM z_pop_recs r LEFT JOIN z_loo_train s USING (user_id, item_id)""",
 )
 def dia_04(fx: Fixtures) -> DataFrame:
-    loo = splitting.loo_split(fx.interactions())
+    loo = splitting.loo_split(fx.staged_interactions())
     return presented(dia.percent_already_seen(popularity_recs(fx), loo.where(F.col("split") == "train")))
 
 

@@ -40,6 +40,24 @@ def test_top_unseen(spark, seed, k):
         assert got.get(u, []) == [(i, r + 1) for r, i in enumerate(expected)]
 
 
+def test_top_unseen_reads_only_the_head_of_the_lists_where_that_is_enough(spark):
+    items = list(range(100, 160))
+    list_df = spark.createDataFrame([(0, r + 1, i, -float(r)) for r, i in enumerate(items)], "list_id int, rank long, item_id long, score double")
+    seen = {(u, i) for u in range(6) for i in items[u : u + 3]}
+    light = spark.createDataFrame([(u, 0) for u in range(6)], "user_id long, list_id int")
+    seen_df = spark.createDataFrame(sorted(seen), "user_id long, item_id long")
+    top = compose.top_unseen(light, list_df, seen_df, 2, 8)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "_list_rank" not in plan  # no shuffle by (list, rank), where every user wants the same few
+    expected = {u: [i for i in items if (u, i) not in seen][:2] for u in range(6)}
+    assert _by_user(top, "item_id") == expected
+
+    seen |= {(6, i) for i in items[:40]} | {(7, i) for i in items[1:8]} | {(8, i) for i in items}  # the head is not enough
+    users = spark.createDataFrame([(u, 0) for u in range(9)], "user_id long, list_id int")
+    got = _by_user(compose.top_unseen(users, list_df, spark.createDataFrame(sorted(seen), "user_id long, item_id long"), 2, 8), "item_id", "rank")
+    assert got == {u: [(i, r + 1) for r, i in enumerate([i for i in items if (u, i) not in seen][:2])] for u in range(8)}
+
+
 @pytest.mark.parametrize("block", [4, 16])
 def test_seen_ranks_of_one_heavy_user_are_counted_in_blocks(spark, block):
     rng = random.Random(block)
