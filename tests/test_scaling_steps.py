@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reckoner.operators import embeddings as emb
 
@@ -57,3 +59,33 @@ def test_svd_takes_few_passes_over_the_rows(spark, monkeypatch):
     found = np.array([r["embedding"] for r in vectors.orderBy("id").collect()])
     assert len(passes) <= 12
     assert np.linalg.norm(found, axis=0) == pytest.approx(np.linalg.svd(dense)[1][:8], rel=1e-4)
+
+
+def test_full_runs_fit_their_models_once_for_both_splits(fx, monkeypatch):
+    from reckoner.plans import ranking_queries as rq
+
+    fits, served = [], []
+
+    def lists(fitted, users, context, k):
+        served.append(fitted)
+        return {"popularity": users.select("user_id", F.lit(1).cast("long").alias("item_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))}
+
+    monkeypatch.setattr(rq, "fitted_tiers", lambda *given: fits.append(given) or {"number": len(fits)})
+    monkeypatch.setattr(rq, "tier_lists", lists)
+    rows = rq.met_10(fx).collect()
+    assert len(fits) == 1 and served == [{"number": 1}] * 2
+    assert {(r["split"], r["model"], r["metric"], r["k"]) for r in rows} == {
+        (s, "popularity", m, k) for s in ("val", "test") for m in ("recall", "ndcg") for k in (5, 10, 20)
+    }
+
+
+def test_first_interactions_are_aggregated_once_for_the_loo_split(spark):
+    from reckoner.operators import splitting
+
+    rows = [(u, i, t, t, 0) for u in range(4) for t, i in enumerate([5, 6, 5, 7, 8][: 2 + u])]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, ts long, k1 long, k2 long")
+    loo = splitting.loo_split(df)
+    plan = loo._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys?=\[user_id#\d+L, item_id#\d+L\]", plan)  # read from the stage, not aggregated in each use
+    got = {(r["user_id"], r["item_id"], r["split"]) for r in loo.collect()}
+    assert got == {(2, 5, "train"), (2, 6, "val"), (2, 7, "test"), (3, 5, "train"), (3, 6, "train"), (3, 7, "val"), (3, 8, "test")}
