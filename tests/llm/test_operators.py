@@ -571,3 +571,14 @@ def test_packing_holds_every_token_once(spark):
 def test_digest_of_kept_text_is_utf8(spark):
     row = line_dedup.line_dedup(documents(spark, [(1, "é\nb", "a")])).select(F.sha2("text", 256)).first()
     assert row[0] == hashlib.sha256("é\nb".encode()).hexdigest()
+
+
+def test_slices_of_blocks_equal_slices_of_texts(spark):
+    from reckoner.llm import substring_dedup as sd
+
+    text = "".join(chr(c) for c in [*range(0x20, 0x17F), 0x0A, 0x0D, 0x85, 0x2028, 0x1F600, 0x41, 0x1F601]) * 12
+    places = [(s, n) for s in (0, 1, 1023, 1024, 1025, 2040, len(text) - 3) for n in (1, 3, 1024, 1025, 3000)]
+    df = spark.createDataFrame([(text, s, n) for s, n in places], "_text string, s long, n long")
+    blocks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{sd._BLOCK_CHARS}}}"), F.lit(0))
+    got = df.withColumn("b", blocks).select("s", "n", sd._cut("b", "s", "n").alias("x")).collect()
+    assert all(r["x"] == text[r["s"] : r["s"] + r["n"]] for r in got)
