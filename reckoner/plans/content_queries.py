@@ -14,7 +14,7 @@ from reckoner.operators.dotscore import cosine_topk, hashed_cosine_topk
 from reckoner.operators.ordering import durable, scratch_path
 from reckoner.operators.popularity import popularity
 from reckoner.plans.registry import presented, query
-from reckoner.plans.sequence_queries import train_of
+from reckoner.plans.sequence_queries import train_in, train_of
 from reckoner.sources import writers
 from reckoner.sources.fixtures import Fixtures
 
@@ -269,6 +269,14 @@ def sid_08_members(fx: Fixtures) -> DataFrame:
     return presented(sid.colliding_members(sids_of(fx)))
 
 
+def item_spans(fx: Fixtures) -> DataFrame:
+    """First and last interaction of every item, two rows each: the time span of all rows, and an item has rows before a time
+    if and only if its first is. One aggregation, staged: the joins behind it run once, with these two columns only."""
+    ends = F.array(F.min("ts"), F.max("ts")).alias("ends")
+    spans = durable(fx.interactions().select("item_id", "ts").groupBy("item_id").agg(ends))
+    return spans.select("item_id", F.explode("ends").alias("ts"))
+
+
 @query(
     "sid_09_cold_items",
     """WITH warm AS (SELECT DISTINCT item_id FROM z_train),
@@ -279,16 +287,17 @@ def sid_08_members(fx: Fixtures) -> DataFrame:
        SELECT item_id, c1 AS sid_level_1, c2 AS sid_level_2, c3 AS sid_level_3, pos + n_known AS sid_dedup FROM ids WHERE NOT known""",
 )
 def sid_09(fx: Fixtures) -> DataFrame:
-    known = train_of(fx).select("item_id").distinct()
-    vectors = durable(fx.item_embeddings())
-    warm = vectors.join(known, "item_id", "left_semi")
+    known = train_in(splitting.time_split(item_spans(fx))).select("item_id").distinct()
+    marked = fx.item_ids().join(known.withColumn("_known", F.lit(True)), "item_id", "left")
+    vectors = durable(fx.item_embeddings(marked))  # marked before the vectors come in, which are not shuffled by item then
+    warm = vectors.where("_known").drop("_known")
     stats = durable(emb.standardisation_stats(warm))
     books = durable(codebooks_of(fx, emb.apply_standardisation(fx.table("embeddings"), stats)))
     taken = sid.add_dedup_digit(sid.semantic_ids(sid.quantise(emb.apply_standardisation(warm, stats), books), LEVELS))
     path = scratch_path(fx.spark, "chain")
     writers.save_tables({"statistics": stats, "codebooks": books, "taken": taken}, path)
     saved = writers.load_tables(fx.spark, path, ["statistics", "codebooks", "taken"])
-    cold = vectors.join(known, "item_id", "left_anti")
+    cold = vectors.where("_known is null").drop("_known")
     return presented(sid.cold_item_ids(cold, saved["statistics"], saved["codebooks"], LEVELS, saved["taken"]))
 
 

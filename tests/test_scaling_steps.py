@@ -89,3 +89,44 @@ def test_first_interactions_are_aggregated_once_for_the_loo_split(spark):
     assert not re.search(r"keys?=\[user_id#\d+L, item_id#\d+L\]", plan)  # read from the stage, not aggregated in each use
     got = {(r["user_id"], r["item_id"], r["split"]) for r in loo.collect()}
     assert got == {(2, 5, "train"), (2, 6, "val"), (2, 7, "test"), (3, 5, "train"), (3, 6, "train"), (3, 7, "val"), (3, 8, "test")}
+
+
+def _small_shop(spark, folder):
+    """Three items sold early (one of them listed twice, one also without a date), two sold late, one never, one big and so late."""
+    day = "timestamp'2000-01-01' + make_dt_interval({})"
+    sold = [(1, 10, "0"), (2, 11, "1"), (3, 10, "95"), (3, 12, "99"), (4, 13, "100"), (4, 15, "2"), (1, 16, "3"), (2, 16, "null")]
+    lines = [f"({o}L, {i}L, 1L, 5, {day.format(d)})" for o, i, d in sold]
+    tables = {
+        "lineitem": f"select col1 l_orderkey, col2 l_partkey, col3 l_linenumber, col4 l_quantity, col5 l_shipdate from values {', '.join(lines)}",
+        "orders": "select col1 o_orderkey, col2 o_custkey from values (1L, 7L), (2L, 7L), (3L, 8L), (4L, null)",
+        "events": "select col1 user_id from values (9L), (9L), (null)",
+        "part": "select col1 p_partkey, col2 p_size, 1.5D p_retailprice from values (10L, 20), (10L, 20), (11L, 5), (12L, 20), (13L, 20), (14L, 20), (15L, 45), (16L, 1)",
+        "embeddings": "select id vec_id, int(id % 2) label, transform(sequence(1, 4), i -> float((id * i) % 5)) embedding from range(6)",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_cold_items_stage_item_spans_and_not_interactions(spark, tmp_path, monkeypatch):
+    from reckoner.operators.ordering import stage_owner
+    from reckoner.plans import catalogue
+    from reckoner.sources import fixtures
+
+    _small_shop(spark, tmp_path)
+    monkeypatch.setattr(fixtures, "END_US", 947_000_000_000_000 + 10_000_000_000_000)
+    with stage_owner(spark) as paths:
+        rows = catalogue.QUERIES["sid_09_cold_items"](spark, str(tmp_path)).collect()
+        staged = [set(spark.read.parquet(p).columns) for p in paths if "stage-" in p]
+    sales = fixtures.Fixtures(spark, str(tmp_path)).interactions().collect()
+    times = [r["ts"] for r in sales if r["ts"]]
+    start = max(times) - 0.16 * (max(times) - min(times))
+    known = {r["item_id"] for r in sales if r["ts"] and r["ts"] < start}
+    assert known == {10, 11, 16}
+    assert sorted(r["item_id"] for r in rows) == [12, 13, 14, 15]
+    assert staged and not any("user_id" in columns for columns in staged)
+
+
+def test_sales_lines_are_not_joined_by_user(fx):
+    plan = fx.interactions()._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert "l_partkey" in joins[0] and "LeftOuter" not in joins[0] and any("LeftOuter" in line for line in joins[1:])
