@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -582,3 +584,56 @@ def test_slices_of_blocks_equal_slices_of_texts(spark):
     blocks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{sd._BLOCK_CHARS}}}"), F.lit(0))
     got = df.withColumn("b", blocks).select("s", "n", sd._cut("b", "s", "n").alias("x")).collect()
     assert all(r["x"] == text[r["s"] : r["s"] + r["n"]] for r in got)
+
+
+def test_words_of_byte_texts_equal_those_of_any_texts(monkeypatch):
+    from reckoner.llm import shingles
+
+    rng = random.Random(8)
+    signs = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA0, 0x100), 0x0A, 0x0D, 0x85]] + [" ", "a", "É"] * 60
+    chunks = [["".join(rng.choices(signs, k=n)) + " " + "y" * rng.choice([0, 64]) for n in (0, 1, 70, 300)] for _ in range(20)]
+    chunks += [[], [""], ["", "  \n"], [" " * 200 + "ab" + "-" * 200 + "c"]]
+    plain = shingles._any_words
+    expected = [plain([t.lower() for t in texts]) for texts in chunks]
+    monkeypatch.setattr(shingles, "_any_words", lambda lowered: pytest.fail("went the long way"))
+    for texts, (sums, starts, ends) in zip(chunks, expected):
+        found = shingles.word_places(texts)
+        assert np.array_equal(found[0], shingles.mixed(sums)) and found[1].sum() == len(starts)
+        assert np.array_equal(found[3] - found[2], ends - starts)
+    monkeypatch.undo()
+    for odd in (["y" * 65 + " b"], ["Āb bé", "c"], ["\ud800 a"]):  # long words, characters of more than a byte
+        assert shingles._byte_words(odd) is None and shingles.word_places(odd)[1].sum() == sum(map(len, map(str.split, odd)))
+
+
+def test_alignment_by_hashes_of_runs_equals_alignment_by_words():
+    rng = random.Random(9)
+    words = np.array([rng.getrandbits(64) for _ in range(6)], dtype=np.uint64)
+    runs = substring_dedup._run_hashes
+    for _ in range(200):
+        a = words[[rng.randrange(6) for _ in range(rng.choice([0, 2, 3, 60]))]]
+        b = np.concatenate([a[: len(a) // 3], words[[rng.randrange(6) for _ in range(rng.randrange(9))]], a[len(a) // 2 :]])
+        i, j, same, edits = substring_dedup.extend(a, b)
+        assert (i, j, same, edits) == substring_dedup.extend(a, b, runs(a), runs(b)) and same <= min(i, j) <= max(i, j) <= same + edits
+        assert substring_dedup.extend(a[::-1], b[::-1]) == substring_dedup.extend(a[::-1], b[::-1], runs(a)[::-1], runs(b)[::-1])
+    new = np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    changed = np.concatenate([new[:10], words[:2], new[13:]])
+    assert substring_dedup.extend(new, changed) == (39, 38, 36, 3)
+
+
+def test_staged_passages_leave_no_shuffle_files_behind(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 80)
+    docs = documents(spark, [(i, f"{prose(rng, 60)} {passage} {prose(rng, 60)}", "a") for i in range(6)])
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+
+    def kept():
+        return {f.name for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    before = kept()
+    passages = substring_dedup.shared_passages(docs)
+    until = time.monotonic() + 10  # files are removed in the background
+    while kept() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not kept() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert {r["doc_id"] for r in passages.collect()} | {r["other_doc_id"] for r in passages.collect()} == set(range(6))
