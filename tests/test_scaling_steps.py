@@ -130,3 +130,25 @@ def test_sales_lines_are_not_joined_by_user(fx):
     plan = fx.interactions()._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert "l_partkey" in joins[0] and "LeftOuter" not in joins[0] and any("LeftOuter" in line for line in joins[1:])
+
+
+def test_scores_importances_and_sweep_learn_from_every_user(spark, monkeypatch):
+    """700 users with a retrieved positive, more than the ranker's sample: the fits that hold nobody out read all of them."""
+    from reckoner.plans import ranking_queries as rq
+    from reckoner.sources.fixtures import Fixtures
+
+    n, features = 700, {c: F.rand(i) for i, c in enumerate(rq.feat.FEATURES)}
+    recs = spark.range(n).selectExpr("id AS user_id", "explode(sequence(1L, 3L)) AS rank").withColumn("item_id", F.col("rank"))
+    recs = recs.withColumns(features).localCheckpoint()
+    targets = spark.range(n).selectExpr("id AS user_id", "1 + id % 3 AS item_id")
+    fitted = []
+    monkeypatch.setattr(rq, "ranked_candidates_of", lambda fx: recs)
+    monkeypatch.setattr(rq, "val_targets", lambda fx: targets)
+    monkeypatch.setattr(rq, "ranker_users", lambda fx: targets.select("user_id").limit(600))
+    monkeypatch.setattr(rq.rr, "fit_gbt_ranker", lambda rows: fitted.append(rows.select("user_id").distinct().count()))
+    monkeypatch.setattr(rq.rr, "scored", lambda rows, model: recs.limit(0))
+    monkeypatch.setattr(rq.rr, "importances", lambda model: recs.limit(0))
+    monkeypatch.setattr(rq.rr, "response_sweep", lambda rows, model, *a: recs.limit(0))
+    for name, query in (("scores", rq.rnk_12), ("importances", rq.rnk_13), ("sweep", rq.rnk_16)):
+        query(Fixtures(spark, f"no such folder: {name}"))
+    assert fitted == [n, n, n]
