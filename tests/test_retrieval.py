@@ -413,3 +413,30 @@ def test_weighted_means_move_no_vector_per_row(spark, chunk_bytes):
     assert len(got) == len(expected) and None in expected and 50 not in expected
     for r in got:
         assert np.allclose(r["vector"], expected[r["id"]][0] / expected[r["id"]][1])
+
+
+@pytest.mark.parametrize("block_bytes", [factors.BLOCK_BYTES, 4 * 4 * 12])
+def test_als_steps_equal_mllib_and_leave_no_step_behind(spark, monkeypatch, block_bytes):
+    """Also with tasks that hold twelve factors, to which only those that they name are sent; a heavy user has several rows."""
+    import os
+
+    from pyspark.ml.recommendation import ALS
+
+    from reckoner.operators.ordering import shared_folder
+
+    monkeypatch.setattr(factors, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(factors, "PACKED_ENTRIES", 7)
+    monkeypatch.setattr(factors, "PACKED_IDS", 3)
+    rng = random.Random(6)
+    users = [u for u in range(25) for _ in range(6)] + [99] * 40
+    train = history(spark, [(u, rng.randrange(40), t) for t, u in enumerate(users)])
+    counts = train.groupBy("user_id", "item_id").count().selectExpr("int(user_id) u", "int(item_id) i", "float(count) n")
+    als = ALS(rank=4, regParam=0.05, maxIter=3, alpha=40.0, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="n", seed=42, numUserBlocks=6, numItemBlocks=6)
+    expected = als.fit(counts)
+    before = {f for f in os.listdir(shared_folder(spark)) if f.startswith("round-")}
+    model = factors.fit_als(train, factors=4, iterations=3)
+    assert {f for f in os.listdir(shared_folder(spark)) if f.startswith("round-")} == before
+    for got, want in ((model.userFactors, expected.userFactors), (model.itemFactors, expected.itemFactors)):
+        got, want = ({r["id"]: r["features"] for r in df.collect()} for df in (got, want))
+        assert got.keys() == want.keys()
+        assert all(got[i] == pytest.approx(want[i], rel=1e-4, abs=1e-5) for i in want)
