@@ -440,3 +440,21 @@ def test_als_steps_equal_mllib_and_leave_no_step_behind(spark, monkeypatch, bloc
         got, want = ({r["id"]: r["features"] for r in df.collect()} for df in (got, want))
         assert got.keys() == want.keys()
         assert all(got[i] == pytest.approx(want[i], rel=1e-4, abs=1e-5) for i in want)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_topk_in_passes_of_few_chunks_equals_brute_force(spark, monkeypatch, kind):
+    """Equal norms, so that no chunk can be left out; a pass takes one chunk and hands on no more than k entries a row."""
+    monkeypatch.setattr(dotscore, "PASS_BYTES", 1, raising=False)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4)).astype("float32")
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"id long, vector array<{kind}>")
+    itself = df.select("id", F.col("id").alias("other"))
+    found = dotscore.blocked_topk(df, df, itself, 3, chunk_bytes=4 * 4 * 13)
+    assert found.groupBy("left_id").count().where("count > 6").isEmpty()
+    score = np.round(x.astype("float64") @ x.astype("float64").T, 6)
+    np.fill_diagonal(score, -9)
+    expected = {(i, j) for i in range(60) for j in np.lexsort((np.arange(60), -score[i]))[:3].tolist()}
+    best = compose.ranked(found.withColumn("item_id", F.col("right_id")), 3, keys=("left_id",))
+    assert {(r["left_id"], r["right_id"]) for r in best.collect()} == expected
