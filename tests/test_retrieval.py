@@ -458,3 +458,24 @@ def test_topk_in_passes_of_few_chunks_equals_brute_force(spark, monkeypatch, kin
     expected = {(i, j) for i in range(60) for j in np.lexsort((np.arange(60), -score[i]))[:3].tolist()}
     best = compose.ranked(found.withColumn("item_id", F.col("right_id")), 3, keys=("left_id",))
     assert {(r["left_id"], r["right_id"]) for r in best.collect()} == expected
+
+
+def test_weighted_means_emit_sums_in_pieces(spark, monkeypatch):
+    """A task's sums go on while it runs, all pairs of an id in one piece, also of an id with more pairs than a piece takes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(dotscore, "PAIRS_AT_ONCE", 5, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(10, 3)).astype("float32")
+    pairs = [(u, int(o), 1.0 + u) for u in range(12) for o in rng.choice(10, 9 if u == 4 else 2, replace=False)] + [(50, 77, 1.0)]
+    names = ["id", "other", "weight", "vector"]
+    rows = [(None, i, None, v.tolist()) for i, v in enumerate(x)] + [(*p, None) for p in pairs]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float32())]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[s : s + 4]], t) for c, t in enumerate(kinds)], names) for s in range(0, len(rows), 4)]
+    found = list(dotscore._sum_rows(iter(batches[::-1])))
+    assert len(found) > 4 and max(b.num_rows for b in found) <= 2 + 1
+    got = {u: (v, w) for b in found for u, v, w in zip(*(c.to_pylist() for c in b.columns))}
+    assert got.keys() == set(range(12))
+    for u, (v, w) in got.items():
+        mine = [(o, n) for a, o, n in pairs if a == u]
+        assert w == pytest.approx(sum(n for _, n in mine)) and v == pytest.approx(sum(n * x[o].astype(float) for o, n in mine))
